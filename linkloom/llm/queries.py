@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import simhash, token_frames
+from linkloom.llm import decontaminate, simhash, token_frames
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -21,12 +21,17 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_token_frames(spark, out).drop("ids")
 
 
+def op3_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digest(decontaminate.find_contamination(documents(spark, sf_dir), benchmark))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op4_simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
