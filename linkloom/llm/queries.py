@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, mixing, sharding, simhash, token_frames
+from linkloom.llm import decontaminate, linededup, mixing, sharding, simhash, token_frames
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -31,6 +31,11 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,7 +45,24 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op8_flow_mix, op9_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op6_bloom_lines, op8_flow_mix, op9_byte_shards)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_bloom_lines": r"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM doc),
+keyed AS (
+  SELECT doc_id, pos, line,
+         translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM line),
+gone AS (
+  SELECT key, max(doc_id) AS keep_doc FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE g.key IS NOT NULL AND g.keep_doc <> k.doc_id) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE g.key IS NULL OR g.keep_doc = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN gone g ON g.key = k.key GROUP BY k.doc_id""",
+}
