@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, linededup, mixing, quality, sharding, simhash, token_frames
+from linkloom.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, token_frames
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -50,7 +50,19 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards)}
+def identified(docs: DataFrame) -> DataFrame:
+    """Language of each document: its language column is the declared one, its source the host."""
+    host = F.col("source").cast("string")
+    suffix = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
+    model = langid.fit_text_model(docs, F.lower(F.col("lang").cast("string")))
+    return langid.identify(docs, model, declared=F.col("lang"), host=host, suffix=F.when(suffix != "", suffix))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(documents(spark, sf_dir)).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "letters", F.col("language").isNotNull().alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
