@@ -27,3 +27,22 @@ def text_or_empty(name: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+ROW = "__linkloom_row"
+
+
+def row_key(df: DataFrame, id_col: str) -> Column:
+    """Tells rows apart, null or repeated ids too: the id and a hash of all columns (equal rows share it)."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("hash"))
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """df less the rows whose key is in `gone` (columns id, hash), its columns unchanged.
+
+    `gone` is stored first, so that its size is known to the planner: below the session's broadcast
+    threshold the texts stay where they are, above it both sides are dealt by key.
+    """
+    gone = stored(gone.select("id", "hash").distinct()).toDF("__id", "__hash")
+    keyed = df.withColumn(ROW, row_key(df, id_col))
+    return keyed.join(gone, (F.col(f"{ROW}.hash") == F.col("__hash")) & F.col(f"{ROW}.id").eqNullSafe(F.col("__id")), "left_anti").drop(ROW)

@@ -316,13 +316,18 @@ def cut_text(text: bytes, spans: list[list[int]]) -> bytes:
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the same columns and rows, the hit words cut from their texts (a null text stays null)."""
+    """docs with the same columns, the hit words cut from their texts (a null text stays null).
+
+    A document of which no word is left goes; one that had none from the start stays.
+    """
     small_batches(docs.sparkSession)
     files = write_blocks(benchmark, window=window)
 
     def finish(rows, texts, words, spans, items):
-        new = pa.array([None if null else cut_text(t, s).decode() for t, s, null in zip(texts, spans, rows.column(0).is_null().to_pylist())], pa.string())
-        return pa.RecordBatch.from_arrays([new, *rows.columns[1:]], rows.schema.names)
+        new = [None if null else cut_text(t, s) for t, s, null in zip(texts, spans, rows.column(0).is_null().to_pylist())]
+        stay = pa.array([not s or bool(words_of(t)) for t, s in zip(new, spans)])
+        text = pa.array([None if t is None else t.decode() for t in new], pa.string())
+        return pa.RecordBatch.from_arrays([text, *rows.columns[1:]], rows.schema.names).filter(stay)
 
     at = [f"c{k}" for k in range(len(docs.columns))]
     first = docs.columns.index(text_col)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import small_batches, stored
+from linkloom.llm._shared import ROW, row_key, small_batches, stored, without
 
 #: Sampled texts per language for the fit, at most languages and so rows of the model.
 SAMPLE_DOCS, MAX_LANGUAGES = 1500, 200
@@ -160,3 +160,10 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     name = F.element_at(F.array(*map(F.lit, names)), F.array_position("evidence", best).cast("int"))
     fine = (F.col("letters") >= MIN_LETTERS) & (best >= min_posterior) & (F.col("fit") > 0)
     return judged.select("doc_id", F.when(fine, name).alias("language"), best.alias("posterior"), "letters", "evidence")
+
+
+def drop_rejected(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **evidence) -> DataFrame:
+    """docs with the same columns, without the documents that `identify` rejects."""
+    keyed = docs.withColumn(ROW, row_key(docs, id_col))
+    gone = identify(keyed, model, ROW, text_col, **evidence).where("language is null").select("doc_id.id", "doc_id.hash")
+    return without(docs, gone, id_col)

@@ -50,16 +50,18 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """Language of each document: its language column is the declared one, its source the host."""
+def language_evidence(docs: DataFrame) -> tuple[langid.TextModel, dict]:
+    """Model and evidence for documents: the language column is the declared one, the source the host."""
     host = F.col("source").cast("string")
     suffix = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
     model = langid.fit_text_model(docs, F.lower(F.col("lang").cast("string")))
-    return langid.identify(docs, model, declared=F.col("lang"), host=host, suffix=F.when(suffix != "", suffix))
+    return model, {"declared": F.col("lang"), "host": host, "suffix": F.when(suffix != "", suffix)}
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(documents(spark, sf_dir)).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "letters", F.col("language").isNotNull().alias("kept"))
+    docs = documents(spark, sf_dir)
+    model, evidence = language_evidence(docs)
+    return langid.identify(docs, model, **evidence).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "letters", F.col("language").isNotNull().alias("kept"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import parts, small_batches, stored
+from linkloom.llm._shared import parts, row_key, small_batches, stored, without
 from linkloom.operators.components import components
 
 WORDS, SEED, LINK_BITS, GROUP_LIMIT, FANOUT = 3, 42, 2, 20_000, 8
@@ -51,17 +51,19 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """The columns of `keep` (name: column) with fp, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pc.fill_null(b.column(1).cast(pa.large_binary()), b"")
+            texts = pc.fill_null(b.column(0).cast(pa.large_binary()), b"")
             fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], [*b.schema.names[1:], "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col(text_col).cast("string").alias("_text"), *(c.alias(n) for n, c in keep.items()))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
+    return plain.mapInArrow(run, f"{kinds}, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -187,19 +189,28 @@ def links(distinct: DataFrame, k: int = LINK_BITS, group_limit: int = GROUP_LIMI
         masks = [m for t in finer.values() for m in t]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = LINK_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """A row per document: doc_id, fp, component_id (the smallest id that links of at most k bits reach)."""
-    docs_fp = stored(fingerprints(docs, id_col, text_col))
-    distinct = stored(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def classes(docs_fp: DataFrame, first: Column, k: int = LINK_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(fp, kept): for each fingerprint the least value of `first` that links of at most k bits reach."""
+    distinct = stored(docs_fp.groupBy("fp").agg(F.min(first).alias("first")))
     label = components(links(distinct, k, group_limit))
     of = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = of.join(least, "component").select("fp", "component_id")
-    return docs_fp.join(classes, "fp").select("doc_id", "fp", "component_id")
+    least = of.groupBy("component").agg(F.min("first").alias("kept"))
+    return of.join(least, "component").select("fp", "kept")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = LINK_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """A row per document: doc_id, fp, component_id (the smallest id that links of at most k bits reach)."""
+    docs_fp = stored(fingerprints(docs, {"doc_id": F.col(id_col).cast("long")}, text_col))
+    return docs_fp.join(classes(docs_fp, F.col("doc_id"), k, group_limit), "fp").select("doc_id", "fp", F.col("kept").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the same columns, without rows of documents that are not the first of their group."""
-    classes = near_duplicates(docs, id_col, text_col)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = LINK_BITS) -> DataFrame:
+    """docs with the same columns, of each group only the row with the smallest id (ids before nulls).
+
+    Rows equal in every column are one document: they stay or go together.
+    """
+    docs_fp = stored(fingerprints(docs, {"row": row_key(docs, id_col)}, text_col))
+    order = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
+    rows = docs_fp.withColumn("own", order)
+    gone = rows.join(classes(rows, F.col("own"), k), "fp").where(~F.col("own").eqNullSafe(F.col("kept"))).select("row.id", "row.hash")
+    return without(docs, gone, id_col)
