@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, token_frames
+from linkloom.llm import decontaminate, langid, linededup, mixing, pii, quality, sharding, simhash, token_frames
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -31,6 +31,10 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
+
+
 def op6_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, **evidence).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "letters", F.col("language").isNotNull().alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
