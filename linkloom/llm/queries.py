@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, langid, linededup, mixing, pii, quality, sharding, simhash, token_frames
+from linkloom.llm import decontaminate, langid, linededup, mixing, pii, quality, sharding, simhash, token_frames, toxicity
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -21,6 +21,14 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_token_frames(spark, out).drop("ids")
 
 
+def op2_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed=fold != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.digest(decontaminate.find_contamination(documents(spark, sf_dir), benchmark))
@@ -68,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, **evidence).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "letters", F.col("language").isNotNull().alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_frames, op2_boosted_toxicity, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
