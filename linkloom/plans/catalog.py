@@ -18,9 +18,16 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
         _ORACLES[name] = oracle
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from linkloom.plans import cnv, links_joins  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return _ORACLES
