@@ -29,3 +29,61 @@ def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     base = laid.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return laid.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + inside).drop("_part", "_base")
+
+
+def islands(df: DataFrame, by: list[str], at: str) -> DataFrame:
+    """(by, first, last, size): maximal runs of consecutive integers."""
+    w = Window.partitionBy(*by).orderBy(at)
+    marked = df.select(*by, at).distinct().withColumn("_g", F.col(at) - F.row_number().over(w))
+    return marked.groupBy(*by, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("size")).drop("_g")
+
+
+def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """(by, start, end): the union of closed intervals, touching ones joined."""
+    w = Window.partitionBy(*by).orderBy(start, end)
+    prior = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = df.withColumn("_new", (prior.isNull() | (F.col(start) > prior + 1)).cast("int")).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return new.groupBy(*by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+
+
+def gaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """(by, start, end): what lies between the merged intervals of a group."""
+    w = Window.partitionBy(*by).orderBy(start)
+    m = merge_intervals(df, by, start, end).withColumn("_next", F.lead(start).over(w))
+    return m.where(F.col("_next").isNotNull()).select(*by, (F.col(end) + 1).alias(start), (F.col("_next") - 1).alias(end))
+
+
+def coverage(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """(by, at, depth): depth from each place where it changes, by summing +1 and -1 marks instead of exploding spans."""
+    marks = spans.select(*by, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct((F.col(end) + 1).alias("at"), F.lit(-1).alias("d"))))).groupBy(*by, "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.withColumn("depth", F.sum("d").over(w)).drop("d")
+
+
+def valleys(spans: DataFrame, by: str, start: str, end: str, share: float = 0.2, long: int = 3) -> DataFrame:
+    """(by, start, end, depth): between two long regions of depth >= share x median, the stretches of least depth."""
+    c = coverage(spans, [by], start, end)
+    nxt = F.lead("at").over(Window.partitionBy(by).orderBy("at"))
+    steps = c.withColumn("fin", nxt - 1).where("fin is not null and fin >= at")
+    bins = steps.select(by, F.explode(F.sequence("at", "fin")).alias("at"), "depth")
+    mid = bins.groupBy(by).agg(F.median("depth").alias("mid"))
+    high = islands(bins.join(mid, by).where(F.col("depth") >= share * F.col("mid")), [by], "at").where(F.col("size") >= long)
+    between = high.withColumn("next", F.lead("first").over(Window.partitionBy(by).orderBy("first"))).where("next is not null").select(by, (F.col("last") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
+    inside = bins.join(between, by).where("at between lo and hi")
+    least = inside.groupBy(by, "lo", "hi").agg(F.min("depth").alias("depth"))
+    low = inside.join(least, [by, "lo", "hi", "depth"])
+    return low.groupBy(by, "lo", "hi", "depth").agg(F.min("at").alias("first"), F.max("at").alias("last")).select(by, "first", "last", "depth")
+
+
+def instances(layout: DataFrame, by: str, item: str, order: list[str]) -> DataFrame:
+    """layout with `instance`: the number of an item's separate runs so far; a run goes on while the item follows itself in the same object."""
+    w = Window.partitionBy(by).orderBy(*order)
+    new = layout.withColumn("_new", (F.lag(item).over(w).isNull() | (F.lag(item).over(w) != F.col(item))).cast("int"))
+    return new.withColumn("instance", F.sum("_new").over(Window.partitionBy(item).orderBy(by, *order).rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def ratio_break(df: DataFrame, by: str, value: str, ratio: float) -> DataFrame:
+    """(by, main): how many values, largest first, come before the first drop below `ratio` of the one before."""
+    w = Window.partitionBy(by).orderBy(F.desc(value))
+    x = df.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead(value).over(w))
+    return x.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("_next") / F.col(value) < ratio, F.col("_k"))), F.count("*")).alias("main"))
