@@ -216,11 +216,11 @@ def _(s, d):
     return x.select(F.col("a").alias("ctg")).union(x.select("b")).distinct()
 
 
-@query("surviving_intersect", "WITH {contigs}, {links} SELECT ctg FROM contigs WHERE len > (SELECT avg(len) FROM contigs) INTERSECT SELECT a FROM links WHERE links >= 2")
+@query("surviving_intersect", "WITH {contigs}, {links} SELECT ctg FROM contigs WHERE len < (SELECT avg(len) FROM contigs) INTERSECT SELECT a FROM links WHERE links >= 2")
 def _(s, d):
     c = contigs(s, d)
     mean = c.agg(F.avg("len").alias("mean"))
-    return c.crossJoin(F.broadcast(mean)).where("len > mean").select("ctg").intersect(links(s, d).where("links >= 2").select(F.col("a").alias("ctg")))
+    return c.crossJoin(F.broadcast(mean)).where("len < mean").select("ctg").intersect(links(s, d).where("links >= 2").select(F.col("a").alias("ctg")))
 
 
 @query("dismissed_difference", "WITH {contigs}, {links} SELECT ctg FROM contigs EXCEPT SELECT b FROM links WHERE links >= 2")
