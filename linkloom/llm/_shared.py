@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,35 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def lean(run: Callable) -> Callable:
+    """A map over batches that gives freed memory back to the machine when a task ends, as Python workers live on."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+_kept: dict = {}
+
+
+def worker_keeps(owner: str, key=None, make: Callable | None = None):
+    """What a Python worker keeps from task to task: one thing, of the operator that ran last."""
+    if _kept.get("of") != (owner, key):
+        _kept.clear()
+        if make is not None:
+            _kept.update(of=(owner, key), value=make())
+    return _kept.get("value")
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -29,7 +60,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-ROW = "__linkloom_row"
+ROW, MAX_GONE = "__linkloom_row", 500_000
 
 
 def row_key(df: DataFrame, id_col: str) -> Column:
@@ -40,9 +71,10 @@ def row_key(df: DataFrame, id_col: str) -> Column:
 def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """df less the rows whose key is in `gone` (columns id, hash), its columns unchanged.
 
-    `gone` is stored first, so that its size is known to the planner: below the session's broadcast
-    threshold the texts stay where they are, above it both sides are dealt by key.
+    `gone` is stored and counted first: up to MAX_GONE rows (some tens of MB) it goes to where the texts
+    are, so that these don't move; beyond that both sides are dealt by key.
     """
     gone = stored(gone.select("id", "hash").distinct()).toDF("__id", "__hash")
+    gone = F.broadcast(gone) if gone.count() <= MAX_GONE else gone
     keyed = df.withColumn(ROW, row_key(df, id_col))
     return keyed.join(gone, (F.col(f"{ROW}.hash") == F.col("__hash")) & F.col(f"{ROW}.id").eqNullSafe(F.col("__id")), "left_anti").drop(ROW)

@@ -15,6 +15,7 @@ first; rows that share an id are all kept, ordered by length, then bytes; an emp
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import parts, small_batches
+from linkloom.llm._shared import lean, parts, small_batches, worker_keeps
 
 DIRECTORY_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Distinct words whose ids a Python worker remembers at most (some 300 MB); beyond it starts anew.
-CACHE_WORDS = 1_500_000
+#: Distinct words whose ids a Python worker remembers at most (some 110 MB); beyond that only the shorter half stay.
+CACHE_WORDS = 500_000
 #: Marks that are split from an alphanumeric word before it is looked up; the models below split there too.
-MARKS = b".,;:!?"
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of Latin letters alone (A-Z are folded before): their normal form is themselves, folded, and nothing splits them.
+LETTERS = re.compile("[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 PROBE = "It's a'b x1. Y,\t2\n<|end é́ ́c, d.E\rf THE!? (q) 1.5 ..a"
-_state: dict = {}
 
 
 class WordEncoder:
@@ -56,6 +58,14 @@ class WordEncoder:
         self.dtype = "<u2" if self.model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         self.end = np.array([end_id], self.dtype).tobytes()
         self.memo: dict[bytes, bytes] = {}
+        # A copy for words of letters: it parts at white space alone, which is all that splits those.
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.array([bool(suffix) and t.endswith(suffix) for _, t in sorted((i, t) for t, i in self.model.get_vocab().items())])
         special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special)
         self.cut_id, self.cut = special[0] if special else (0, "")
         one = lambda w: self.model.encode(w, add_special_tokens=False).ids
@@ -65,21 +75,33 @@ class WordEncoder:
     @staticmethod
     def _pieces(word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(MARKS)
-        return (stem, word[len(stem) :]) if stem.isalnum() else (word, b"")
+        return (stem, word[len(stem) :]) if stem.isalnum() or LETTERS.fullmatch(stem.decode()) else (word, b"")
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Put these words into the memo: their unseen pieces go to the model in lots, parted by a special token."""
+    def _learn(self, new: set[bytes], split: list[list[bytes]]) -> None:
+        """Put these words into the memo, which keeps all of `split`: their unseen pieces go to the model in lots."""
         memo, width = self.memo, np.dtype(self.dtype).itemsize
-        if len(memo) + 2 * len(new) > CACHE_WORDS:
-            memo.clear()
+        if len(memo) + 2 * len(new) > CACHE_WORDS:  # long words are the rare ones
+            short = sorted(memo, key=len)[: CACHE_WORDS // 2]
+            memo = self.memo = {w: memo[w] for w in chain(short, *split) if w in memo}
         memo[b""] = b""
         pairs = [(w, *self._pieces(w)) for w in new]
-        todo = list({x for p in pairs for x in p[1:]}.difference(memo))
-        for at in range(0, len(todo), 1000):
-            some = todo[at : at + 1000]
+        plain, rest = [], []
+        for x in {x for p in pairs for x in p[1:]}.difference(memo):
+            (plain if LETTERS.fullmatch(x.decode()) else rest).append(x)
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            cuts = (width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):  # not a model that marks the ends of words
+                rest += some
+                continue
+            raw = ids.astype(self.dtype).tobytes()
+            memo.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts))))
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
             ids = np.array(self.model.encode_batch_fast([self.cut.join(w.decode() for w in some)], add_special_tokens=False)[0].ids, np.int64)
             cuts = width * np.flatnonzero(ids == self.cut_id)
             raw = ids.astype(self.dtype).tobytes()
@@ -92,21 +114,17 @@ class WordEncoder:
         for at in range(0, len(texts), 128):
             some = texts[at : at + 128]
             split = [t.lower().split() if self.exact and b"<|" not in t else None for t in some]
-            if new := set(filterfalse(self.memo.__contains__, chain.from_iterable(filter(None, split)))):
-                before = len(self.memo)
-                self._learn(new)
-                if len(self.memo) < before:  # it was emptied
-                    self._learn(set(filterfalse(self.memo.__contains__, chain.from_iterable(filter(None, split)))))
+            known = list(filter(None, split))
+            if new := set(filterfalse(self.memo.__contains__, chain.from_iterable(known))):
+                self._learn(new, known)
             get = self.memo.__getitem__
             out += [(self._whole(t) if words is None else b"".join(map(get, words))) + self.end for t, words in zip(some, split)]
         return out
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
-    """The worker's encoder, kept from task to task."""
-    if _state.get("key") != (path, end_id):
-        _state.update(key=(path, end_id), value=WordEncoder(path, end_id))
-    return _state["value"]
+    """The worker's encoder, kept from task to task until another operator needs the room."""
+    return worker_keeps("token_frames", (path, end_id), lambda: WordEncoder(path, end_id))
 
 
 def seek_table(sizes: list[tuple[int, int, int]]) -> bytes:
@@ -179,7 +197,7 @@ def write_token_frames(docs: DataFrame, out: str, tokenizer: str, end_id: int, i
             place = np.searchsorted(cuts, pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int32()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()), pa.array(map(zip_.compress, raw), pa.binary())], ["doc_id", "part", "n_tokens", "width", "checksum", "frame"])
 
-    frames = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, part int, n_tokens long, width int, checksum long, frame binary")
+    frames = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(encode), "doc_id long, part int, n_tokens long, width int, checksum long, frame binary")
     placed = frames.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +225,7 @@ def write_token_frames(docs: DataFrame, out: str, tokenizer: str, end_id: int, i
             fs.move(draft, f"{root}/part-{part:06d}.zst")  # an attempt's file appears whole or not at all
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
-    done = sorted(placed.mapInArrow(write, "part int, n_docs long, n_tokens long").collect(), key=lambda r: r.part)  # a row per file
+    done = sorted(placed.mapInArrow(lean(write), "part int, n_docs long, n_tokens long").collect(), key=lambda r: r.part)  # a row per file
     manifest, start = [], 0
     for r in done:
         manifest.append({"file": f"part-{r.part:06d}.zst", "n_docs": r.n_docs, "n_tokens": r.n_tokens, "start": start})
@@ -242,4 +260,4 @@ def read_token_frames(spark: SparkSession, out: str, wanted: list[int] | None =
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     files = spark.createDataFrame([(m["file"], m["start"]) for m in manifest], "file string, start long")
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return files.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
