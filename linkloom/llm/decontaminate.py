@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import shared_dir, small_batches
+from linkloom.llm._shared import lean, shared_dir, small_batches, worker_keeps
 
 WINDOW, SAMPLE = 10, 16
 #: Bytes of text in a shard (or one document, if longer) and of test items in a block.
-SHARD_BYTES, BLOCK_BYTES = 24 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
 #: A-Z folded; every byte outside [0-9a-z] and non-ASCII becomes a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_state: dict = {}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -148,16 +148,16 @@ class Block:
                 found.setdefault(size, {}).setdefault(tuple(w[s : s + size]), set()).add(k)
         self.windows = {size: (np.array(list(x), np.int64), [np.array(sorted(v)) for v in x.values()]) for size, x in sorted(found.items())}
 
-    def spans(self, docs: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
+    def spans(self, docs: list[bytes]) -> list[tuple[np.ndarray, set[str]]]:
         """For each document the merged spans [start, end) of hit words, and the items found."""
         none = [(np.zeros((0, 2), np.int64), set()) for _ in docs]
         if not self.windows:
             return none
         shortest = min(self.windows)
-        counts = np.array([len(d) for d in docs], np.int64)
-        get = self.vocabulary.get
-        ids = np.concatenate([np.fromiter((get(w, 1) for w in d), np.int64, len(d)) if len(d) > 0 else np.zeros(0, np.int64) for d in docs] or [np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(len(docs)), counts)
+        own = [np.fromiter(map(self.vocabulary.get, words_of(d), repeat(1)), np.int32) for d in docs]
+        counts = np.array([len(x) for x in own], np.int64)
+        ids = np.concatenate(own or [np.zeros(0, np.int32)])
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
         n = len(ids)
         if not n:
             return none
@@ -233,15 +233,17 @@ def write_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str
 
 def _block(uri: str) -> Block:
     """A block from shared storage; the worker keeps the one it used last."""
-    if _state.get("uri") != uri:
+
+    def load() -> Block:
         fs, path = pafs.FileSystem.from_uri(uri)
         with fs.open_input_stream(path) as f:
-            _state.update(uri=uri, block=pickle.loads(f.read()))
-    return _state["block"]
+            return pickle.loads(f.read())
+
+    return worker_keeps("decontaminate", uri, load)
 
 
 def _scan(files: list[str], finish: Callable, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over batches whose first column is the text: finish(rows of a shard, texts, words, spans, items)."""
+    """A map over batches whose first column is the text: finish(rows of a shard, texts, spans, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,10 +252,9 @@ def _scan(files: list[str], finish: Callable, shard_bytes: int) -> Callable[[Ite
         def shard() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             texts = pc.fill_null(rows.column(0).cast(pa.large_binary()), b"").to_pylist()
-            words = [words_of(t) for t in texts]
             found = [[] for _ in texts]
             for uri in files:
-                for k, x in enumerate(_block(uri).spans(words)):
+                for k, x in enumerate(_block(uri).spans(texts)):
                     if len(x[0]):
                         found[k].append(x)
             spans, items = [], []
@@ -267,7 +268,7 @@ def _scan(files: list[str], finish: Callable, shard_bytes: int) -> Callable[[Ite
                         merged.append([s, e])
                 spans.append(merged)
                 items.append(sorted(set().union(*(i for _, i in x))))
-            return finish(rows, texts, words, spans, items)
+            return finish(rows, texts, spans, items)
 
         for b in batches:
             for at in range(0, b.num_rows, 64):
@@ -288,11 +289,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     small_batches(docs.sparkSession)
     files = write_blocks(benchmark, window=window, block_bytes=block_bytes)
 
-    def finish(rows, texts, words, spans, items):
+    def finish(rows, texts, spans, items):
         pairs = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.RecordBatch.from_arrays([rows.column(1), pa.array([len(w) for w in words], pa.int64()), pairs, pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([rows.column(1), pa.array([len(words_of(t)) for t in texts], pa.int64()), pairs, pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")).mapInArrow(_scan(files, finish, shard_bytes), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")).mapInArrow(lean(_scan(files, finish, shard_bytes)), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -323,7 +324,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     small_batches(docs.sparkSession)
     files = write_blocks(benchmark, window=window)
 
-    def finish(rows, texts, words, spans, items):
+    def finish(rows, texts, spans, items):
         new = [None if null else cut_text(t, s) for t, s, null in zip(texts, spans, rows.column(0).is_null().to_pylist())]
         stay = pa.array([not s or bool(words_of(t)) for t, s in zip(new, spans)])
         text = pa.array([None if t is None else t.decode() for t in new], pa.string())
@@ -333,4 +334,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     first = docs.columns.index(text_col)
     order = [first, *(k for k in range(len(at)) if k != first)]
     plain = docs.toDF(*at).select(*(at[k] for k in order))
-    return plain.mapInArrow(_scan(files, finish, SHARD_BYTES), plain.schema).select(*(F.col(c).alias(n) for c, n in zip(at, docs.columns)))
+    return plain.mapInArrow(lean(_scan(files, finish, SHARD_BYTES)), plain.schema).select(*(F.col(c).alias(n) for c, n in zip(at, docs.columns)))

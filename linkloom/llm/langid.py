@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import ROW, row_key, small_batches, stored, without
+from linkloom.llm._shared import ROW, lean, row_key, small_batches, stored, without, worker_keeps
 
 #: Sampled texts per language for the fit, at most languages and so rows of the model.
 SAMPLE_DOCS, MAX_LANGUAGES = 1500, 200
@@ -93,7 +93,7 @@ def fit_text_model(docs: DataFrame, label: Column, id_col: str = "doc_id", text_
                 at = np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], ["language", "bucket", "n"])
 
-    for r in sample.select("language", "text").mapInArrow(count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sample.select("language", "text").mapInArrow(lean(count), "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[languages.index(r.language), r.bucket] = r.n
     return TextModel(languages, counts)
 
@@ -105,13 +105,14 @@ def text_evidence(docs: DataFrame, model: TextModel, keep: dict[str, Column], te
     plain = docs.select(F.col(text_col).cast("string").alias("_text"), *(c.alias(n) for n, c in keep.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("langid")
         m = shared.value
         for b in batches:
             got = [m.score(t.as_py()) for t in pc.fill_null(b.column(0).cast(pa.large_binary()), b"")]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.float64()))], [*b.schema.names[1:], "letters", "loglik"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
-    return plain.mapInArrow(run, f"{kinds}, letters long, loglik array<double>")
+    return plain.mapInArrow(lean(run), f"{kinds}, letters long, loglik array<double>")
 
 
 def _normal(x: Column) -> Column:

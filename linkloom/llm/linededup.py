@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import small_batches, stored
+from linkloom.llm._shared import lean, small_batches, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_LINE, MAX_BITS, SEGMENT_BITS, PROBES, MAX_BROADCAST = 16, 1 << 30, 1 << 20, 3, 200_000
@@ -125,8 +125,8 @@ def twice_filter(docs: DataFrame, min_chars: int, max_bits: int) -> TwiceFilter:
             yield pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()), "twice": pa.array([zstandard.compress(twice.tobytes())], pa.binary())})
 
     bits = np.zeros(segments * size, np.uint8)
-    some = docs.select("text").mapInArrow(partial, "segment int, once binary, twice binary")
-    for r in some.repartition(F.col("segment")).sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary").toLocalIterator():
+    some = docs.select("text").mapInArrow(lean(partial), "segment int, once binary, twice binary")
+    for r in some.repartition(F.col("segment")).sortWithinPartitions("segment").mapInArrow(lean(merge), "segment int, twice binary").toLocalIterator():
         bits[r.segment * size : (r.segment + 1) * size] = np.frombuffer(zstandard.decompress(r.twice), np.uint8)
     return TwiceFilter(bits, segments)
 
@@ -152,7 +152,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
                     ids += [i] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    pairs = docs.select("doc_id", "text").mapInArrow(suspects, "key binary, doc_id long").distinct()
+    pairs = docs.select("doc_id", "text").mapInArrow(lean(suspects), "key binary, doc_id long").distinct()
     return pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_doc")).where(F.col("n") >= min_docs).select("key", "keep_doc")
 
 
@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in batches:
                 yield batch(b.column(0), [rewrite(i, t, kept.value) for i, t in zip(b.column(0).to_pylist(), _texts(b.column(1)))])
 
-        return plain.mapInArrow(run, schema)
+        return plain.mapInArrow(lean(run), schema)
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +195,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     # A document's own confirmed keys come to it; of null ids all rows share one list, which does no harm.
-    held = plain.mapInArrow(holders, "doc_id long, key binary").distinct().join(gone, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("keep_doc").alias("keep"))
+    held = plain.mapInArrow(lean(holders), "doc_id long, key binary").distinct().join(gone, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("keep_doc").alias("keep"))
     both = plain.join(held, plain["doc_id"].eqNullSafe(held["doc_id"]), "left").select(plain["doc_id"], "text", "keys", "keep")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +203,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keys, keep = b.column(2).to_pylist(), b.column(3).to_pylist()
             yield batch(b.column(0), [rewrite(i, t, {k: (v if v is not None else -1) for k, v in zip(ks or (), vs or ())}) for i, t, ks, vs in zip(b.column(0).to_pylist(), _texts(b.column(1)), keys, keep)])
 
-    return both.mapInArrow(run_joined, schema)
+    return both.mapInArrow(lean(run_joined), schema)

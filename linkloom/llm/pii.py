@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import small_batches, stored
+from linkloom.llm._shared import lean, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS, SMOOTHING = 4, 0.8, 3, 1.0
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 other.append([{"start": s, "end": e, "instance": _instance(text[s:e]), "contexts": contexts(text, s, e)} for s, e in candidates(text, found)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, _BASE), pa.array(other, _OTHER)], ["row", "doc_id", "base", "other"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _FOUND)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), _FOUND)
 
 
 def score_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import parts, row_key, small_batches, stored, without
+from linkloom.llm._shared import lean, parts, row_key, small_batches, stored, without, worker_keeps
 from linkloom.operators.components import components
 
 WORDS, SEED, LINK_BITS, GROUP_LIMIT, FANOUT = 3, 42, 2, 20_000, 8
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, keep: dict[str, Column], text_col: str = "text
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("simhash")
         for b in batches:
             texts = pc.fill_null(b.column(0).cast(pa.large_binary()), b"")
             fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, keep: dict[str, Column], text_col: str = "text
 
     plain = docs.select(F.col(text_col).cast("string").alias("_text"), *(c.alias(n) for n, c in keep.items()))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
-    return plain.mapInArrow(run, f"{kinds}, fp long")
+    return plain.mapInArrow(lean(run), f"{kinds}, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -172,21 +173,22 @@ def links(distinct: DataFrame, k: int = LINK_BITS, group_limit: int = GROUP_LIMI
             yield out(held)
 
     while True:
-        finer = {_signed(m): [_signed(t) for t in thirds(m & _ALL, k)] for m in masks}
+        finer = {m: [_signed(t) for t in thirds(m & _ALL, k)] for m in masks}
         pick = F.create_map(*(F.lit(x) for m, t in finer.items() for x in (F.lit(m).cast("long"), F.array(*(F.lit(v).cast("long") for v in t)))))
-        rows = level.select("fp", F.explode(pick[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        rows = level.select("fp", F.explode(pick[F.col("mask")]).alias("mask"))
+        rows = (rows if masks == [0] else rows.distinct()).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         sizes = stored(sizes)
         hot = sizes.where(F.col("n") > group_limit)
         some_hot = bool(hot.take(1))
         fine = rows.join(sizes.where(F.col("n") <= group_limit).select("mask", "key"), ["mask", "key"], "left_semi")
         laid = fine.select("mask", "key", "fp", gray_rank(F.col("fp")).alias("rank")).repartition(parts(spark), "mask", "key").sortWithinPartitions("mask", "key", "rank")
-        edges = laid.mapInArrow(run, "a long, b long")
+        edges = laid.mapInArrow(lean(run), "a long, b long")
         found = edges if found is None else found.union(edges)
         if not some_hot:
             return found
         level = stored(rows.join(hot.select("mask", "key"), ["mask", "key"], "left_semi").select("fp", "mask"))
-        masks = [m for t in finer.values() for m in t]
+        masks = sorted({m for t in finer.values() for m in t})
 
 
 def classes(docs_fp: DataFrame, first: Column, k: int = LINK_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import small_batches, stored
+from linkloom.llm._shared import lean, small_batches, stored
 
 SAMPLE_ROWS, FOLDS, MAX_TERMS, MAX_LEXICON, MIN_TOXIC_DOCS = 24_000, 3, 200_000, 5_000, 4
 MIN_LOG_ODDS, THRESHOLD = 2.5, 0.7
@@ -210,9 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
 
     schema = "term string, fold int, n long"
     by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"f{k}") for k in range(FOLDS)]
-    bad = sample.where("toxic = 1").select("text", "fold").mapInArrow(count(None), schema).groupBy("term").agg(F.sum("n").alias("n"), *by_fold).where(F.col("n") >= MIN_TOXIC_DOCS)
+    bad = sample.where("toxic = 1").select("text", "fold").mapInArrow(lean(count(None)), schema).groupBy("term").agg(F.sum("n").alias("n"), *by_fold).where(F.col("n") >= MIN_TOXIC_DOCS)
     found = {r.term: [r[f"f{k}"] for k in range(FOLDS)] for r in bad.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
-    good = sample.where("toxic = 0").select("text", "fold").mapInArrow(count(frozenset(found)), schema).groupBy("term").agg(*by_fold)
+    good = sample.where("toxic = 0").select("text", "fold").mapInArrow(lean(count(frozenset(found))), schema).groupBy("term").agg(*by_fold)
     against = {r.term: [r[f"f{k}"] for k in range(FOLDS)] for r in good.collect()}  # of terms in `found` alone
     none = [0] * FOLDS
 
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
             rows = [features(t, words[f]) for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(rows, pa.list_(pa.float64()))], ["fold", "toxic", "doc_id", "x"])
 
-    got = sample.select("text", "fold", "toxic", "doc_id").mapInArrow(describe, f"fold int, toxic int, doc_id {dict(sample.dtypes)['doc_id']}, x array<double>").collect()
+    got = sample.select("text", "fold", "toxic", "doc_id").mapInArrow(lean(describe), f"fold int, toxic int, doc_id {dict(sample.dtypes)['doc_id']}, x array<double>").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))  # about `rows` rows; a fixed order makes reruns agree
     x, y, fold = np.array([r.x for r in got]), np.array([r.toxic for r in got], float), np.array([r.fold for r in got])
     z = np.zeros(len(y))
@@ -251,4 +251,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
 
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, score double")
+    return plain.mapInArrow(lean(run), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, score double")
