@@ -36,7 +36,7 @@ from linkloom.llm._shared import lean, shared_dir, small_batches, worker_keeps
 
 WINDOW, SAMPLE = 10, 16
 #: Bytes of text in a shard (or one document, if longer) and of test items in a block.
-SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
 #: A-Z folded; every byte outside [0-9a-z] and non-ASCII becomes a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from linkloom.llm._shared import lean, parts, small_batches, worker_keeps
 
 DIRECTORY_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Distinct words whose ids a Python worker remembers at most (some 110 MB); beyond that only the shorter half stay.
-CACHE_WORDS = 500_000
+#: Distinct words whose ids a Python worker remembers at most (some 80 MB); beyond that only the shorter half stay.
+CACHE_WORDS = 350_000
 #: Marks that are split from an alphanumeric word before it is looked up; the models below split there too.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of Latin letters alone (A-Z are folded before): their normal form is themselves, folded, and nothing splits them.
