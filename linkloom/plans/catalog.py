@@ -20,7 +20,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from linkloom.plans import aggregates, cnv, formats, graphs, iterative, links_joins, sequences  # noqa: F401
+    from linkloom.plans import aggregates, cnv, formats, graphs, iterative, links_joins, reads, sequences  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

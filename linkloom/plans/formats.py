@@ -164,7 +164,7 @@ def _(s, d):
     return R.paf(s, path, min_mapq=2).select("query", "qstart", "qend", "ref", "mapq")
 
 
-@query("gene_matrix", "SELECT c_nationkey AS gene, CAST(count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS DOUBLE) AS BUILDING, CAST(count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS DOUBLE) AS MACHINERY FROM customer GROUP BY c_nationkey")
+@query("gene_matrix", "SELECT c_nationkey AS gene, CASE WHEN bool_or(c_mktsegment = 'BUILDING') THEN CAST(count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS DOUBLE) ELSE CAST('NaN' AS DOUBLE) END AS BUILDING, CASE WHEN bool_or(c_mktsegment = 'MACHINERY') THEN CAST(count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS DOUBLE) ELSE CAST('NaN' AS DOUBLE) END AS MACHINERY FROM customer GROUP BY c_nationkey")
 def _(s, d):
     x = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("gene"), F.col("c_mktsegment").alias("sample")).agg(F.count("*").cast("double").alias("cn"))
     return W.gene_matrix(x, ["BUILDING", "MACHINERY"])
