@@ -17,8 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/linkloom-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once into a Parquet table in shared storage and read back: lineage is cut and lost executors do no harm."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, few: bool = False) -> DataFrame:
+    """df, computed once into a Parquet table in shared storage and read back: lineage is cut and lost executors do no harm.
+
+    few: a narrow table, such as sums or edges, that needs no more files than the cluster has cores.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

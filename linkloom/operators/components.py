@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     node with very many edges gathers no list. Rows with a null end and self loops are ignored.
     """
     x, y = F.col(a), F.col(b)
-    e = stored(edges.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct())
+    e = stored(edges.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), few=True)
     seen = _signature(e)
     for _ in range(max_rounds):
         if not seen[0]:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo")))
-        e = stored(small.distinct())
+        e = stored(small.distinct(), few=True)
         now = _signature(e)
         if now == seen:
             break
