@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from linkloom.llm._shared import lean, parts, small_batches, worker_keeps
 
 DIRECTORY_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Distinct words whose ids a Python worker remembers at most (some 80 MB); beyond that only the shorter half stay.
-CACHE_WORDS = 350_000
+#: Distinct words whose ids a Python worker remembers at most (some 100 MB); beyond that only the shorter half stay.
+CACHE_WORDS = 450_000
 #: Marks that are split from an alphanumeric word before it is looked up; the models below split there too.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words of Latin letters alone (A-Z are folded before): their normal form is themselves, folded, and nothing splits them.
-LETTERS = re.compile("[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Bytes of UTF-8 Latin letters (a-z, and two-byte ones below U+0240), less what isn't a letter there or folds to two.
+LATIN, NOT_PLAIN = bytes([*range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]), re.compile(b"\xc3\x97|\xc3\xb7|\xc4\xb0").search
 PROBE = "It's a'b x1. Y,\t2\n<|end é́ ́c, d.E\rf THE!? (q) 1.5 ..a"
 
 
@@ -73,9 +73,14 @@ class WordEncoder:
         self.exact = self.cut.startswith("<|") and one(PROBE) == [i for w in pieces for i in one(w.decode())]
 
     @staticmethod
-    def _pieces(word: bytes) -> tuple[bytes, bytes]:
+    def _plain(word: bytes) -> bool:
+        """Whether a folded word is Latin letters alone: its normal form is itself, and nothing splits it."""
+        return not word.translate(None, LATIN) and (word.isascii() or NOT_PLAIN(word) is None)
+
+    @classmethod
+    def _pieces(cls, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(MARKS)
-        return (stem, word[len(stem) :]) if stem.isalnum() or LETTERS.fullmatch(stem.decode()) else (word, b"")
+        return (stem, word[len(stem) :]) if stem.isalnum() or cls._plain(stem) else (word, b"")
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
@@ -87,10 +92,12 @@ class WordEncoder:
             short = sorted(memo, key=len)[: CACHE_WORDS // 2]
             memo = self.memo = {w: memo[w] for w in chain(short, *split) if w in memo}
         memo[b""] = b""
-        pairs = [(w, *self._pieces(w)) for w in new]
-        plain, rest = [], []
-        for x in {x for p in pairs for x in p[1:]}.difference(memo):
-            (plain if LETTERS.fullmatch(x.decode()) else rest).append(x)
+        whole = [w for w in new if w[-1] not in MARKS]
+        pairs = [(w, *self._pieces(w)) for w in new if w[-1] in MARKS]
+        todo = {x for p in pairs for x in p[1:]}.difference(memo)
+        todo.update(whole)
+        plain = [x for x in todo if not x.translate(None, LATIN) and (x.isascii() or NOT_PLAIN(x) is None)]
+        rest = list(todo.difference(plain))
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
