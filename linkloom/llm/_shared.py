@@ -74,7 +74,7 @@ def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     `gone` is stored and counted first: up to MAX_GONE rows (some tens of MB) it goes to where the texts
     are, so that these don't move; beyond that both sides are dealt by key.
     """
-    gone = stored(gone.select("id", "hash").distinct()).toDF("__id", "__hash")
+    gone = stored(gone.select("id", "hash").distinct(), few=True).toDF("__id", "__hash")
     gone = F.broadcast(gone) if gone.count() <= MAX_GONE else gone
     keyed = df.withColumn(ROW, row_key(df, id_col))
     return keyed.join(gone, (F.col(f"{ROW}.hash") == F.col("__hash")) & F.col(f"{ROW}.id").eqNullSafe(F.col("__id")), "left_anti").drop(ROW)

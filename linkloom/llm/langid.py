@@ -20,6 +20,7 @@ rejected; repeated rows are judged alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,12 +116,15 @@ def text_evidence(docs: DataFrame, model: TextModel, keep: dict[str, Column], te
     return plain.mapInArrow(lean(run), f"{kinds}, letters long, loglik array<double>")
 
 
-def _normal(x: Column) -> Column:
-    """Posterior from log weights."""
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+def _posterior(df: DataFrame, logs: list[Column], name: str) -> DataFrame:
+    """df with an array of probabilities from log weights; in steps, so that each number is computed once a row."""
+    n = range(len(logs))
+    df = df.withColumns({f"_f{k}": logs[k] for k in n})
+    df = df.withColumn("_top", F.greatest(*(f"_f{k}" for k in n)) if len(logs) > 1 else F.col("_f0"))
+    df = df.withColumns({f"_e{k}": F.exp(F.col(f"_f{k}") - F.col("_top")) for k in n})
+    df = df.withColumn("_sum", sum((F.col(f"_e{k}") for k in n), F.lit(0.0)))
+    df = df.withColumn(name, F.array(*(F.col(f"_e{k}") / F.col("_sum") for k in n)))
+    return df.drop("_top", "_sum", *(f"_{x}{k}" for k in n for x in "fe"))
 
 
 def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
@@ -132,31 +136,25 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     if not n:
         return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), "letters", F.array().cast("array<double>").alias("evidence"))
     weight = F.least(F.col("letters").cast("double"), F.lit(MAX_EVIDENCE))
-    rows = rows.withColumn("alone", F.when(F.col("letters") >= MIN_LETTERS, _normal(F.transform("loglik", lambda v: v * weight))))
+    heard = [F.coalesce(F.get(F.col("loglik"), F.lit(k)), F.lit(0.0)) * weight for k in range(n)]
+    rows = _posterior(rows, heard, "alone").withColumn("alone", F.when(F.col("letters") >= MIN_LETTERS, F.col("alone")))
     each = lambda c: [F.sum(F.get(F.col("alone"), F.lit(k))).alias(f"{c}{k}") for k in range(n)]
 
-    # Host priors: sums of text posteriors by host, by suffix and over all, each smoothed towards the next.
+    # Priors from sums of text posteriors: over all (one row), by suffix smoothed towards that, by host towards its suffix.
     seen = rows.where("alone is not null")
-    everywhere = seen.agg(*each("g"), F.count("*").alias("gn"))
-    by_suffix = seen.where("suffix is not null").groupBy("suffix").agg(*each("s"), F.count("*").alias("sn"))
-    by_host = seen.where("host is not null").groupBy("host").agg(F.max("suffix").alias("of_suffix"), *each("h"), F.count("*").alias("hn"))
-    # A declared language's reliability: how its documents' texts read.
-    by_declared = seen.where("declared is not null").groupBy("declared").agg(*each("d"), F.count("*").alias("dn"))
-
-    share = lambda c, k: (F.coalesce(F.col(f"{c}{k}"), F.lit(0.0)), F.coalesce(F.col(f"{c}n"), F.lit(0)))
-    base = [(F.coalesce(F.col(f"g{k}"), F.lit(0.0)) + 1) / (F.coalesce(F.col("gn"), F.lit(0)) + n) for k in range(n)]
-
-    def smoothed(c: str, k: int, towards: Column, much: float) -> Column:
-        total, count = share(c, k)
-        return (total + much * towards) / (count + much)
-
-    suffix_mix = [smoothed("s", k, base[k], SUFFIX_WEIGHT) for k in range(n)]
-    wide = rows.join(by_suffix, "suffix", "left").join(by_host.drop("of_suffix"), "host", "left").join(by_declared, "declared", "left").crossJoin(F.broadcast(everywhere))  # everywhere is one row
-    prior = [smoothed("h", k, suffix_mix[k], HOST_WEIGHT) for k in range(n)]
-    # P(declared | language) in proportion to P(language | declared) / P(language), smoothed.
-    said = [smoothed("d", k, base[k], HOST_WEIGHT) / base[k] for k in range(n)]
-    fused = F.array(*(F.coalesce(F.get(F.col("loglik"), F.lit(k)), F.lit(0.0)) * weight + F.ln(prior[k]) + F.ln(said[k]) for k in range(n)))
-    judged = wide.select("doc_id", "letters", _normal(fused).alias("evidence"), F.array_max("loglik").alias("fit"))
+    total = seen.agg(*each("g"), F.count("*").alias("n")).first()
+    base = [((total[f"g{k}"] or 0.0) + 1) / (total["n"] + n) for k in range(n)]
+    by_suffix = seen.where("suffix is not null").groupBy("suffix").agg(*each("s"), F.count("*").alias("n"))
+    by_suffix = stored(by_suffix.select("suffix", *(((F.col(f"s{k}") + SUFFIX_WEIGHT * base[k]) / (F.col("n") + SUFFIX_WEIGHT)).alias(f"s{k}") for k in range(n))), few=True)
+    by_host = seen.where("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), *each("h"), F.count("*").alias("n")).join(by_suffix, "suffix", "left")
+    by_host = stored(by_host.select("host", *(F.ln((F.col(f"h{k}") + HOST_WEIGHT * F.coalesce(f"s{k}", F.lit(base[k]))) / (F.col("n") + HOST_WEIGHT)).alias(f"h{k}") for k in range(n))), few=True)
+    # P(declared | language) in proportion to P(language | declared) / P(language): how a declaration's texts read.
+    by_declared = seen.where("declared is not null").groupBy("declared").agg(*each("d"), F.count("*").alias("n"))
+    by_declared = stored(by_declared.select("declared", *(F.ln((F.col(f"d{k}") + HOST_WEIGHT * base[k]) / (F.col("n") + HOST_WEIGHT) / base[k]).alias(f"d{k}") for k in range(n))), few=True)
+    wide = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left").join(by_declared, "declared", "left")
+    logs = [heard[k] + F.coalesce(F.col(f"h{k}"), F.ln(f"s{k}"), F.lit(math.log(base[k]))) + F.coalesce(f"d{k}", F.lit(0.0)) for k in range(n)]
+    fused = _posterior(wide.select("doc_id", "letters", "loglik", *(x.alias(f"x{k}") for k, x in enumerate(logs))), [F.col(f"x{k}") for k in range(n)], "evidence")
+    judged = fused.select("doc_id", "letters", "evidence", F.array_max("loglik").alias("fit"))
     best = F.array_max("evidence")
     name = F.element_at(F.array(*map(F.lit, names)), F.array_position("evidence", best).cast("int"))
     fine = (F.col("letters") >= MIN_LETTERS) & (best >= min_posterior) & (F.col("fit") > 0)

@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = stored(repeated_lines(plain, min_chars, min_docs, max_bits))
+    gone = stored(repeated_lines(plain, min_chars, min_docs, max_bits), few=True)
     known = gone.count() <= max_broadcast
 
     def rewrite(doc_id, text: bytes, keep: dict) -> tuple[int, int, bytes]:

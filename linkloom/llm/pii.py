@@ -155,23 +155,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def score_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(context, kind, confidence) of the patterns to trust, from the graph of patterns and instances."""
     seeds = found.select(F.explode("base").alias("x")).select("x.kind", "x.instance", F.explode("x.contexts").alias("context"))
-    seeds = stored(seeds.groupBy("context", "kind", "instance").agg(F.count("*").alias("n")))
+    seeds = stored(seeds.groupBy("context", "kind", "instance").agg(F.count("*").alias("n")), few=True)
     support = seeds.groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    support = stored(support)
+    support = stored(support, few=True)
     others = found.select(F.explode("other").alias("x")).select("x.instance", F.explode("x.contexts").alias("context")).distinct()
     # Edges: instances of supported patterns; a seed of another kind counts against a pattern like any unknown.
     known = seeds.select("context", "instance", F.col("kind").alias("seed_kind"))
     every = known.unionByName(others.withColumn("seed_kind", F.lit(None).cast("int")))
-    edges = stored(every.join(support, "context").groupBy("context", "kind", "seeds", "instance").agg(F.max((F.coalesce(F.col("seed_kind") == F.col("kind"), F.lit(False))).cast("double")).alias("seed"), F.max(F.coalesce(F.col("seed_kind") != F.col("kind"), F.lit(False)).cast("int")).alias("against")))
+    edges = stored(every.join(support, "context").groupBy("context", "kind", "seeds", "instance").agg(F.max((F.coalesce(F.col("seed_kind") == F.col("kind"), F.lit(False))).cast("double")).alias("seed"), F.max(F.coalesce(F.col("seed_kind") != F.col("kind"), F.lit(False)).cast("int")).alias("against")), few=True)
     belief = edges.withColumn("belief", F.col("seed"))
     for _ in range(rounds):
         patterns = belief.groupBy("context", "kind").agg((F.sum("belief") / (F.count("*") + SMOOTHING)).alias("confidence"), F.max("seeds").alias("seeds"))
         vouched = edges.join(patterns.select("context", "kind", "confidence"), ["context", "kind"])
         # What several patterns say of an instance: one minus the chance that all of them err.
         voices = vouched.where("against = 0").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least(F.col("confidence"), F.lit(0.99)))))).alias("voice"), F.count("*").alias("patterns"))
-        belief = stored(edges.join(voices, ["instance", "kind"], "left").select("context", "kind", "seeds", "instance", "seed", "against", F.when(F.col("seed") > 0, 1.0).when(F.col("patterns") > 1, F.col("voice")).otherwise(0.0).alias("belief")))
+        belief = stored(edges.join(voices, ["instance", "kind"], "left").select("context", "kind", "seeds", "instance", "seed", "against", F.when(F.col("seed") > 0, 1.0).when(F.col("patterns") > 1, F.col("voice")).otherwise(0.0).alias("belief")), few=True)
     final = belief.groupBy("context", "kind").agg((F.sum("belief") / (F.count("*") + SMOOTHING)).alias("confidence"))
-    return stored(final.where(F.col("confidence") >= min_confidence))
+    return stored(final.where(F.col("confidence") >= min_confidence), few=True)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:

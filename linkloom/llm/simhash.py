@@ -178,7 +178,7 @@ def links(distinct: DataFrame, k: int = LINK_BITS, group_limit: int = GROUP_LIMI
         rows = level.select("fp", F.explode(pick[F.col("mask")]).alias("mask"))
         rows = (rows if masks == [0] else rows.distinct()).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = stored(sizes)
+        sizes = stored(sizes, few=True)
         hot = sizes.where(F.col("n") > group_limit)
         some_hot = bool(hot.take(1))
         fine = rows.join(sizes.where(F.col("n") <= group_limit).select("mask", "key"), ["mask", "key"], "left_semi")
@@ -193,7 +193,7 @@ def links(distinct: DataFrame, k: int = LINK_BITS, group_limit: int = GROUP_LIMI
 
 def classes(docs_fp: DataFrame, first: Column, k: int = LINK_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(fp, kept): for each fingerprint the least value of `first` that links of at most k bits reach."""
-    distinct = stored(docs_fp.groupBy("fp").agg(F.min(first).alias("first")))
+    distinct = stored(docs_fp.groupBy("fp").agg(F.min(first).alias("first")), few=True)
     label = components(links(distinct, k, group_limit))
     of = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("first").alias("kept"))

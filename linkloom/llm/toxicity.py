@@ -183,7 +183,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, rows: i
     n = marked.count()
     cut = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * rows // max(n, 1))
     chosen = marked.where(F.xxhash64("doc_id", F.lit(5)) <= cut).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int"))
-    chosen = stored(chosen)  # about `rows` narrow rows: that bounds the broadcast
+    chosen = stored(chosen, few=True)  # about `rows` narrow rows: that bounds the broadcast
     return stored(docs.where("text is not null").join(F.broadcast(chosen), "doc_id"))
 
 

@@ -74,3 +74,24 @@ def test_oracles(spark, name):
     cols = sorted(got.columns)
     plain = lambda df: sorted(tuple(None if pd.isna(v) else v for v in r) for r in df[cols].itertuples(index=False))
     assert plain(got.drop(columns="grown_shard", errors="ignore").assign(**{c: None for c in {"grown_shard"} & set(cols)})) == plain(want)
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_messy_and_empty_tables(spark, messy, nothing, at):
+    stage = corpus_pipeline.STAGES[at][1]
+    got = stage(spark, messy, SF)
+    assert got.count() > 0
+    assert stage(spark, nothing, SF).count() == 0
+    if at < len(corpus_pipeline.STAGES) - 1:
+        assert got.columns == messy.columns and dict(got.dtypes) == dict(messy.dtypes)
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_queries_take_messy_tables(spark, messy, tmp_path, name):
+    """Whole queries over a folder of tables with nulls, repeats and clashing columns, and over empty ones."""
+    for k, keep in enumerate(("true", "false")):
+        d = tmp_path / str(k)
+        messy.where(keep).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").where(keep).write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "the of and river stone light under harbour walks slowly when"), (None, None)], "item_id long, text string").where(keep).write.parquet(f"{d}/benchmark.parquet")
+        assert queries.QUERIES[name](spark, str(d)).count() == (messy.count() if keep == "true" else 0)
