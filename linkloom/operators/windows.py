@@ -61,18 +61,26 @@ def coverage(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame
 
 
 def valleys(spans: DataFrame, by: str, start: str, end: str, share: float = 0.2, long: int = 3) -> DataFrame:
-    """(by, start, end, depth): between two long regions of depth >= share x median, the stretches of least depth."""
-    c = coverage(spans, [by], start, end)
-    nxt = F.lead("at").over(Window.partitionBy(by).orderBy("at"))
-    steps = c.withColumn("fin", nxt - 1).where("fin is not null and fin >= at")
-    bins = steps.select(by, F.explode(F.sequence("at", "fin")).alias("at"), "depth")
-    mid = bins.groupBy(by).agg(F.median("depth").alias("mid"))
-    high = islands(bins.join(mid, by).where(F.col("depth") >= share * F.col("mid")), [by], "at").where(F.col("size") >= long)
+    """(by, first, last, depth): between two long regions of depth >= share x median, the stretches of least depth.
+
+    Works on the steps of the depth curve, weighted by their width, and never on single places.
+    """
+    w = Window.partitionBy(by).orderBy("at")
+    steps = coverage(spans, [by], start, end).withColumn("fin", F.lead("at").over(w) - 1).where("fin is not null and fin >= at")
+    ranked = steps.groupBy(by, "depth").agg(F.sum(F.col("fin") - F.col("at") + 1).alias("n"))
+    cum = F.sum("n").over(Window.partitionBy(by).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("upto", cum).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
+    at_rank = lambda k: F.min(F.when(F.col("upto") >= F.floor((F.col("total") + k) / 2), F.col("depth")))
+    mid = ranked.groupBy(by).agg(((at_rank(1) + at_rank(2)) / 2).alias("mid"))
+    flagged = steps.join(mid, by).withColumn("high", F.col("depth") >= share * F.col("mid"))
+    turn = (F.lag("high").over(w).isNull() | (F.lag("high").over(w) != F.col("high"))).cast("int")
+    runs = flagged.withColumn("turn", turn).withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    high = runs.where("high").groupBy(by, "run").agg(F.min("at").alias("first"), F.max("fin").alias("last")).where(F.col("last") - F.col("first") + 1 >= long)
     between = high.withColumn("next", F.lead("first").over(Window.partitionBy(by).orderBy("first"))).where("next is not null").select(by, (F.col("last") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
-    inside = bins.join(between, by).where("at between lo and hi")
+    inside = steps.join(between, by).where("at between lo and hi")
     least = inside.groupBy(by, "lo", "hi").agg(F.min("depth").alias("depth"))
     low = inside.join(least, [by, "lo", "hi", "depth"])
-    return low.groupBy(by, "lo", "hi", "depth").agg(F.min("at").alias("first"), F.max("at").alias("last")).select(by, "first", "last", "depth")
+    return low.groupBy(by, "lo", "hi", "depth").agg(F.min("at").alias("first"), F.max("fin").alias("last")).select(by, "first", "last", "depth")
 
 
 def instances(layout: DataFrame, by: str, item: str, order: list[str]) -> DataFrame:
