@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from linkloom.functions.storage import stored
 from linkloom.operators import kernels as K
+from linkloom.operators.components import components
 from linkloom.operators.links import with_ends
-from linkloom.plans.base import contigs, graph, links, query, table
+from linkloom.plans.base import contigs, links, query, table, whole_graph
 
 
 def _inner(s, d, groups: int = 23):
@@ -76,19 +78,24 @@ def _(s, d):
     return K.grouped(_inner(s, d), "grp", "grp long, knee double", lambda g: pd.DataFrame({"grp": g.grp.iloc[:1], "knee": K.knee(g.links.tolist())}))
 
 
+def _parted(s, d):
+    """All edges with the connected component they lie in."""
+    x = stored(whole_graph(s, d), few=True)
+    return x.join(components(x, "src", "dst"), F.col("src") == F.col("node")).select("component", "src", "dst")
+
+
 @query("strong_components")
 def _(s, d):
-    x = graph(s, d).withColumn("grp", F.lit(0).cast("long"))  # a sparse graph of the layout kind is one group
-    return K.grouped(x, "grp", "node long, component long", lambda g: pd.DataFrame(sorted(K.strong_components(list(zip(g.src, g.dst))).items()), columns=["node", "component"]))
+    return K.grouped(_parted(s, d), "component", "node long, component long", lambda g: pd.DataFrame(sorted(K.strong_components(list(zip(g.src, g.dst))).items()), columns=["node", "component"]))
 
 
 @query("acyclic_runs")
 def _(s, d):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         runs = K.topological_runs(K.break_cycles({(a, b): a % 7 for a, b in zip(g.src, g.dst)}))
-        return pd.DataFrame([(k, j, x) for k, r in enumerate(runs) for j, x in enumerate(r)], columns=["run", "ord", "node"])
+        return pd.DataFrame([(g.component.iloc[0], k, j, x) for k, r in enumerate(runs) for j, x in enumerate(r)], columns=["component", "run", "ord", "node"])
 
-    return K.grouped(graph(s, d).withColumn("grp", F.lit(0)), "grp", "run long, ord long, node long", run)
+    return K.grouped(_parted(s, d), "component", "component long, run long, ord long, node long", run)
 
 
 @query("linearised_edges")
@@ -96,7 +103,7 @@ def _(s, d):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(K.linearise(list(zip(g.src, g.dst)), {x: x % 100 for x in [*g.src, *g.dst]}, 50), columns=["src", "dst"])
 
-    return K.grouped(graph(s, d).withColumn("grp", F.lit(0)), "grp", "src long, dst long", run)
+    return K.grouped(_parted(s, d), "component", "src long, dst long", run)
 
 
 def _halves(g: pd.DataFrame) -> tuple[dict, dict]:

@@ -9,7 +9,7 @@ from linkloom.operators import alignments as A
 from linkloom.operators import breaking as B
 from linkloom.operators import evaluate as E
 from linkloom.operators import simulate as D
-from linkloom.plans.base import contigs, graph, layout, links, query, table
+from linkloom.plans.base import contigs, layout, links, query, table, whole_graph
 
 _ALN = "aln AS (SELECT l_orderkey AS read, l_partkey AS ctg, CAST(floor(l_extendedprice) AS BIGINT) AS pos, l_linenumber AS mapq, l_discount AS divergence, l_returnflag = 'N' AS unmapped, l_suppkey * 60 AS qs, l_suppkey * 60 + CAST(l_quantity AS BIGINT) * 100 AS qe FROM lineitem)"
 
@@ -82,12 +82,14 @@ def _(s, d):
 
 @query("gap_filling")
 def _(s, d):
+    from linkloom.functions.storage import stored
     from linkloom.operators.graph import reach
 
-    far = reach(graph(s, d), 2).where("level = 2")
+    edges = stored(whole_graph(s, d), few=True)
+    far = reach(edges, 2).where("level = 2")
     w = Window.partitionBy("scaffold").orderBy("k")
     lay = far.select(F.xxhash64("src", "dst").alias("scaffold"), F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("src").alias("ctg")), F.struct(F.lit(2).alias("k"), F.col("dst").alias("ctg")))).alias("x")).select("scaffold", "x.k", "x.ctg")
-    return B.fill_gaps(lay.select("scaffold", F.row_number().over(w).alias("part"), "ctg"), graph(s, d), 2)
+    return B.fill_gaps(lay.select("scaffold", F.row_number().over(w).alias("part"), "ctg"), edges, 2)
 
 
 @query("dominant_label", "WITH g AS (SELECT c_mktsegment AS grp, c_nationkey AS chrom, sum(floor(abs(c_acctbal))) AS len FROM customer GROUP BY ALL) SELECT grp, chrom FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY len DESC, chrom) = 1")
