@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from linkloom.functions.storage import stored
 from linkloom.operators import kernels as K
 from linkloom.operators.components import components
-from linkloom.operators.links import with_ends
-from linkloom.plans.base import contigs, links, query, table, whole_graph
+from linkloom.plans.base import links, query, table, whole_graph
 
 
-def _inner(s, d, groups: int = 23):
-    """Links inside groups of contigs: grp, a, b, links."""
-    c = contigs(s, d).select("ctg", (F.col("ctg") % groups).alias("grp"))
-    return with_ends(links(s, d), c, "grp").where("grp_a = grp_b").select(F.col("grp_a").alias("grp"), "a", "b", F.col("links").cast("double").alias("links"))
+def _inner(s, d):
+    """All links with the connected component that they lie in: grp, a, b, links."""
+    x = stored(links(s, d), few=True)
+    return x.join(components(x), F.col("a") == F.col("node")).select(F.col("component").alias("grp"), "a", "b", F.col("links").cast("double").alias("links"))
 
 
 def _triples(g: pd.DataFrame) -> list[tuple]:
@@ -182,7 +181,7 @@ def _(s, d):
         got = K.neighbour_votes([x for x in near if x % 3 == 0], near, 1)
         return pd.DataFrame([(g.grp.iloc[0], x, y, n) for (x, y), n in sorted(got.items())], columns=["grp", "x", "y", "votes"])
 
-    return K.grouped(_inner(s, d, 5), "grp", "grp long, x long, y long, votes long", run)
+    return K.grouped(_inner(s, d), "grp", "grp long, x long, y long, votes long", run)
 
 
 @query("long_read_paths")
@@ -190,7 +189,7 @@ def _(s, d):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(g.grp.iloc[0], k, j, x) for k, p in enumerate(K.path_graph(_weights(g), 1, 3)) for j, x in enumerate(p)], columns=["grp", "path", "ord", "half"])
 
-    return K.grouped(_inner(s, d, 211), "grp", "grp long, path long, ord long, half long", run)
+    return K.grouped(_inner(s, d), "grp", "grp long, path long, ord long, half long", run)
 
 
 @query("balanced_matrix")
@@ -198,14 +197,11 @@ def _(s, d):
     import numpy as np
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*g.a, *g.b})
-        at = {x: k for k, x in enumerate(nodes)}
-        m = np.eye(len(nodes))
-        for a, b, w in _triples(g):
-            m[at[a], at[b]] = m[at[b], at[a]] = w
-        x = K.balance(m)
-        i, j = np.nonzero(x)
-        return pd.DataFrame({"grp": g.grp.iloc[0], "i": [nodes[k] for k in i], "j": [nodes[k] for k in j], "v": x[i, j].round(6)})
+        nodes = np.unique(np.r_[g.a, g.b])
+        a, b, own = np.searchsorted(nodes, g.a), np.searchsorted(nodes, g.b), np.arange(len(nodes))
+        i, j = np.r_[a, b, own], np.r_[b, a, own]
+        x = K.balance_sparse(i, j, np.r_[g.links, g.links, np.ones(len(nodes))], len(nodes))
+        return pd.DataFrame({"grp": g.grp.iloc[0], "i": nodes[i], "j": nodes[j], "v": x.round(6)})
 
     return K.grouped(_inner(s, d), "grp", "grp long, i long, j long, v double", run)
 

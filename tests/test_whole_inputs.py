@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 
 from linkloom.operators import kernels as K
@@ -45,3 +46,26 @@ def test_cycles_are_broken_as_by_cutting_one_by_one():
         n = r.randint(1, 9)
         edges = {(r.randrange(n), r.randrange(n)): r.randrange(4) for _ in range(r.randint(1, 30))}
         assert K.break_cycles(edges) == slow(edges)
+
+
+def test_link_kernels_take_all_links(spark):
+    x = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_partkey", "l_suppkey", "l_linenumber"]).query("l_partkey != l_suppkey and l_linenumber >= 2")
+    pairs = {(min(a, b), max(a, b)) for a, b in zip(x.l_partkey, x.l_suppkey)}
+    nodes = {n for p in pairs for n in p}
+    found = {(r.i, r.j) for r in catalog.queries()["balanced_matrix"](spark, SF).collect()}
+    assert {(i, j) for i, j in found if i < j} == pairs
+    for name in ("louvain_clusters", "linkage_clusters", "spectral_clusters", "fast_order"):
+        assert {r.ctg for r in catalog.queries()[name](spark, SF).collect()} == nodes
+
+
+def test_sparse_kernels_agree_with_dense_ones():
+    rng = np.random.default_rng(0)
+    n = 300
+    m = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.05), 1)
+    m += m.T
+    i, j = np.nonzero(m)
+    mine, whole = K.leading_vectors(i, j, m[i, j], n, 4), np.linalg.eigh(m)[1][:, -4:]
+    assert np.allclose(np.abs((mine * whole).sum(0)), 1, atol=1e-6)
+    m += np.eye(n)
+    i, j = np.nonzero(m)
+    assert np.allclose(K.balance_sparse(i, j, m[i, j], n), K.balance(m)[i, j])
