@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions.storage import stored
+
 
 def good_alignment(mapq: int, identity: float, length: int) -> Column:
     """Of columns unmapped, mapq, divergence, qs, qe."""
@@ -60,26 +62,45 @@ def secondary_tags(alignments: DataFrame) -> DataFrame:
     return g.select("read", "k", F.array_join(F.transform("p", lambda v: v["t"]), ";").alias("tags"))
 
 
-def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
-    """(ctg, h): distinct least k-mer hashes of all windows of w k-mers, both strands alike."""
+def sketches(seqs: DataFrame, k: int, w: int) -> DataFrame:
+    """(ctg, sketch): sorted distinct least k-mer hashes of all windows of w k-mers, both strands alike; only where there are any."""
     from linkloom.functions.sequence import canonical, kmers
 
     hashes = F.transform(kmers(F.col("seq"), k), lambda x: F.xxhash64(canonical(x)))
     h = seqs.select("ctg", hashes.alias("h"))
     n = F.size("h") - w + 1
     least = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_min(F.slice("h", i, F.lit(w))))).otherwise(F.array(F.array_min("h")))
-    return h.select("ctg", F.explode(F.array_distinct(least)).alias("h")).where("h is not null")
+    return h.select("ctg", F.array_sort(F.array_compact(F.array_distinct(least))).alias("sketch")).where(F.size("sketch") > 0)
+
+
+def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
+    """(ctg, h): the members of the sketches."""
+    return sketches(seqs, k, w).select("ctg", F.explode("sketch").alias("h"))
 
 
 def sketch_pairs(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int = 60, least: float = 0.5) -> DataFrame:
-    """(a, b, sim): shared minimizers over the smaller sketch; minimizers that more than max_holders sequences have
-    are left out as repeats, which the similarity is defined by and which bounds the pairs of each."""
-    m = minimizers(seqs, k, w)
-    rare = m.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_holders)).select("h")
-    size = m.groupBy("ctg").agg(F.count("*").alias("size"))
-    held = m.join(rare, "h").groupBy("h").agg(F.array_sort(F.collect_set("ctg")).alias("c"))
-    one = held.select(F.posexplode("c").alias("k", "a"), "c")
-    pairs = one.select("a", F.explode(F.slice("c", F.col("k") + 2, F.size("c"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    s = lambda c: size.select(F.col("ctg").alias(c), F.col("size").alias(f"s_{c}"))
-    x = pairs.join(s("a"), "a").join(s("b"), "b")
-    return x.select("a", "b", (F.col("n") / F.least("s_a", "s_b")).alias("sim")).where(F.col("sim") >= least)
+    """(a, b, sim): shared minimizers over the smaller sketch, for all pairs of at least `least` (above 0).
+
+    Equal sketches count as one until the end. A pair that is alike shares one of the rarest minimizers of its smaller
+    sketch, so many that the others alone would fall short of `least`; only those are joined, then sketches are compared
+    whole. Minimizers that more than max_holders sketches have are dealt over several tasks.
+    """
+    own = stored(sketches(seqs, k, w).withColumn("key", F.sha2(F.array_join(F.transform("sketch", lambda x: x.cast("string")), ","), 256)))
+    one = stored(own.groupBy("key").agg(F.first("sketch").alias("sketch")).select("key", "sketch", F.size("sketch").alias("size")))
+    m = one.select("key", "size", F.explode("sketch").alias("h"))
+    held = m.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    tasks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(max_holders)).cast("int")
+    ranked = m.join(held, "h", "left").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(1)), "h")))
+    ranked = stored(ranked.where("n > 1").select("key", "size", "h", "rank", tasks.alias("tasks")))
+    rarest = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1)
+    x = rarest.select(F.col("key").alias("x"), F.col("size").alias("size_x"), "h", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    y = ranked.select(F.col("key").alias("y"), F.col("size").alias("size_y"), "h", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int").alias("task"))
+    near = stored(x.join(y, ["h", "task"]).where("size_x < size_y or (size_x = size_y and x < y)").select("x", "y").distinct())
+    side = lambda c: one.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    both = near.join(side("x"), "x").join(side("y"), "y")
+    sim = F.size(F.array_intersect("sketch_x", "sketch_y")) / F.least(F.size("sketch_x"), F.size("sketch_y"))
+    alike = both.select("x", "y", sim.alias("sim")).where(F.col("sim") >= least)
+    names = lambda key, c: own.select(F.col("key").alias(key), F.col("ctg").alias(c))
+    apart = alike.join(names("x", "l"), "x").join(names("y", "r"), "y").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "sim")
+    same = names("x", "a").join(names("x", "b"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
+    return apart.union(same)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from linkloom.operators import kernels as K
 from linkloom.plans import catalog
@@ -69,3 +70,23 @@ def test_sparse_kernels_agree_with_dense_ones():
     m += np.eye(n)
     i, j = np.nonzero(m)
     assert np.allclose(K.balance_sparse(i, j, m[i, j], n), K.balance(m)[i, j])
+
+
+def test_sketch_pairs_of_many_holders(spark):
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import alignments as A
+
+    r = random.Random(2)
+    letters = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    shared, copy = letters(300), letters(200)
+    seqs = [(k, copy) for k in range(80)] + [(100 + k, shared + letters(r.choice((60, 250, 700)))) for k in range(90)] + [(300, "ACGT"), (301, None), (302, letters(400))]
+    df = spark.createDataFrame(seqs, "ctg long, seq string").repartition(4)
+    held = {}
+    for x in A.minimizers(df, 9, 5).collect():
+        held.setdefault(x.ctg, set()).add(x.h)
+    share = {(a, b): len(held[a] & held[b]) / min(len(held[a]), len(held[b])) for a in held for b in held if a < b}
+    want = {p: pytest.approx(v) for p, v in share.items() if v >= 0.5}
+    got = A.sketch_pairs(df, 9, 5).select("a", "b", F.col("sim")).collect()
+    assert len(got) == len(want) and {(x.a, x.b): x.sim for x in got} == want
+    assert sum(b < 80 for _, b in want) == 80 * 79 // 2
