@@ -62,14 +62,18 @@ def simple_paths(edges: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def transitive_reduction(edges: DataFrame, hops: int) -> DataFrame:
-    """Edges without another way of 2 to `hops` steps between their ends (exact for a DAG no deeper than that)."""
+def transitive_reduction(edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """Edges without another way of 2 to `hops` steps between their ends; by default of any length, until no new pair is reached."""
     e = edges.select("src", "dst").distinct()
-    frontier, longer = e, None
-    for _ in range(2, hops + 1):
-        frontier = stored(frontier.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct())
+    frontier, longer, k = e, None, 1
+    while hops is None or k < hops:
+        k += 1
+        step = frontier.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        frontier = stored(step if longer is None else step.join(longer, ["src", "dst"], "left_anti"))
+        if not frontier.take(1):
+            break
         longer = frontier if longer is None else longer.union(frontier)
-    return e.join(longer.distinct(), ["src", "dst"], "left_anti")
+    return e if longer is None else e.join(longer, ["src", "dst"], "left_anti")
 
 
 def diamonds(edges: DataFrame) -> DataFrame:
@@ -109,17 +113,23 @@ def split_branches(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def follow_single(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, end, steps): the end of the chain of single successors from each node, by pointer doubling.
+    """(node, end, steps): the end of the chain of single successors from each node, by pointer doubling to the very end.
 
-    Pointers span up to 2^rounds steps; chains that run into a circle stop wherever that many steps lead.
+    Chains that run into a circle have no end: they stop after 2^rounds steps.
     """
     e = edges.select("src", "dst").distinct()
     one = e.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select(F.col("src").alias("node"), F.col("dst").alias("end"), F.lit(1).cast("long").alias("steps"))
-    at = one
-    for _ in range(rounds):
+    at = stored(one)
+    nodes, k = at.count(), 0
+    more = lambda: at.join(one.select(F.col("node").alias("end")), "end", "left_semi")
+    bounded = at
+    while k < rounds or 2**k <= nodes and more().take(1):
         nxt = at.select(F.col("node").alias("end"), F.col("end").alias("further"), F.col("steps").alias("more"))
         at = stored(at.join(nxt, "end", "left").select("node", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    return at
+        k += 1
+        bounded = at if k == rounds else bounded
+    endless = more().select("node")
+    return at.join(endless, "node", "left_anti").union(bounded.join(endless, "node", "left_semi").select("node", "end", "steps"))
 
 
 def last_orientation(nodes: DataFrame, strands: DataFrame) -> DataFrame:

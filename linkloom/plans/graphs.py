@@ -50,7 +50,7 @@ def _(s, d):
 
 @query("transitive_reduction", "WITH {graph}, w2 AS (SELECT DISTINCT a.src, b.dst FROM graph a JOIN graph b ON a.dst = b.src), w3 AS (SELECT DISTINCT a.src, b.dst FROM w2 a JOIN graph b ON a.dst = b.src) SELECT src, dst FROM graph EXCEPT (SELECT * FROM w2 UNION SELECT * FROM w3)")
 def _(s, d):
-    return G.transitive_reduction(graph(s, d), 3)
+    return G.transitive_reduction(graph(s, d))
 
 
 _WIDE = "wide AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 45 AND l_partkey <> l_suppkey)"
