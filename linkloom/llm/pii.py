@@ -3,7 +3,7 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers by their form. They are the
 seeds of a bootstrap (in the manner of pattern-instance learning): the words around them become lexical patterns, a pattern
 being a kind with the two words before, or the word before and the word after. Any token of identifier form
-(digits or an @ in it, of sufficient length) in such a place is an instance. Spark scores the
+(digits or an @ in it, of sufficient length), or any run of digit groups, in such a place is an instance. Spark scores the
 bipartite graph of patterns and instances iteratively: a pattern's confidence is the smoothed share
 of its distinct instances believed to be of the kind (seeds count 1, others as far as other
 patterns vouch for them), weighted by how many seeds support it; an instance's belief is that of its best
@@ -43,6 +43,8 @@ _DIGITS = re.compile(r"[^0-9]+")
 _LUHN = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]]
 #: A candidate: a white-space-delimited token with an @ in it, or one of at least five digits.
 _TOKEN = re.compile(r"[0-9@]\S*")
+#: Another: groups of digits, at least five digits together, joined by single spaces, dots, hyphens and brackets.
+_GROUPS = re.compile(r"(?<![^\s\"'\[{<])[(\[]?[0-9]++(?:(?:[ .-]|[)\]][ .-]?|[ .-]?[(\[])[0-9]++)+(?![^\s\"')\]}>.,;:!?])")
 _EDGE = "\"'()[]{}<>.,;:!?*#$%&|="
 _WORD = re.compile(r"\S+")
 
@@ -108,17 +110,20 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of identifier form that no base span touches, their surrounding marks left off."""
-    out, k = [], 0
+    """Tokens and groups of digits of identifier form that no base span touches, the marks around tokens left off; a token may lie in a group."""
+    digits = lambda x: sum(map(x.count, "0123456789"))
+    found = {m.span() for m in _GROUPS.finditer(text) if digits(m.group()) >= 5}
     for m in _TOKEN.finditer(text):
         begin = m.start()
         while begin and not text[begin - 1].isspace():
             begin -= 1
         token = text[begin : m.end()]
-        if "@" not in token and sum(map(token.count, "0123456789")) < 5:
+        if "@" not in token and digits(token) < 5:
             continue
         start = begin + len(token) - len(token.lstrip(_EDGE))
-        end = start + len(token.strip(_EDGE))
+        found.add((start, start + len(token.strip(_EDGE))))
+    out, k = [], 0
+    for start, end in sorted(found):
         while k < len(base) and base[k][2] <= start:
             k += 1
         if end > start and not any(s < end and start < e for s, _, e in base[k : k + 8]):
@@ -182,6 +187,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = found.select("row", F.explode("other").alias("x")).select("row", "x.start", "x.end", F.explode("x.contexts").alias("context")).join(trusted, "context")
     best = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     added = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))  # of one document
+    longer = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    added = added.withColumn("added", F.filter("added", lambda x: ~F.exists("added", lambda y: longer(x, y))))  # the whole identifier
     return found.select("row", "doc_id", F.transform("base", span).alias("base")).join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("added"))
 
 
