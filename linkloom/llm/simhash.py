@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import lean, parts, row_key, small_batches, stored, without, worker_keeps
+from linkloom.llm._shared import ROW, lean, parts, row_key, small_batches, stored, without, worker_keeps
 from linkloom.operators.components import components
 
 WORDS, SEED, LINK_BITS, GROUP_LIMIT, FANOUT = 3, 42, 2, 20_000, 8
@@ -209,10 +209,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = LINK_BITS) -> DataFrame:
     """docs with the same columns, of each group only the row with the smallest id (ids before nulls).
 
-    Rows equal in every column are one document: they stay or go together.
+    Rows equal in every column are one document: one of them stays, or none.
     """
     docs_fp = stored(fingerprints(docs, {"row": row_key(docs, id_col)}, text_col))
     order = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
     rows = docs_fp.withColumn("own", order)
     gone = rows.join(classes(rows, F.col("own"), k), "fp").where(~F.col("own").eqNullSafe(F.col("kept"))).select("row.id", "row.hash")
-    return without(docs, gone, id_col)
+    single = without(docs, gone, id_col)
+    again = stored(docs_fp.groupBy("row").count().where("count > 1").select("row.id", "row.hash"), few=True)
+    if not again.take(1):
+        return single
+    copies = again.toDF("__id", "__hash")
+    keyed = single.withColumn(ROW, row_key(docs, id_col))
+    equal = keyed.join(copies, (F.col(f"{ROW}.hash") == F.col("__hash")) & F.col(f"{ROW}.id").eqNullSafe(F.col("__id")), "left_semi")
+    return without(single, again, id_col).union(equal.dropDuplicates([ROW]).drop(ROW))
