@@ -9,7 +9,8 @@ then only their frames. Documents lie in ascending id over all files; a manifest
 first token position.
 
 Defined cases: a null text counts as empty and yields the end id alone; rows with a null id come
-first; rows that share an id are all kept, ordered by length, then bytes; an empty table gives no files.
+first; rows that share an id are all kept, ordered by length, then bytes, in each file (an id, or null,
+with more rows than a file's share has several files); an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,33 +36,83 @@ from pyspark.sql import functions as F
 from linkloom.llm._shared import lean, parts, small_batches, worker_keeps
 
 DIRECTORY_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Distinct words whose ids a Python worker remembers at most (some 100 MB); beyond that only the shorter half stay.
+#: Distinct words whose ids a Python worker remembers at most (some 100 MB).
 CACHE_WORDS = 450_000
 #: Marks that are split from an alphanumeric word before it is looked up; the models below split there too.
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Bytes of UTF-8 Latin letters (a-z, and two-byte ones below U+0240), less what isn't a letter there or folds to two.
-LATIN, NOT_PLAIN = bytes([*range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]), re.compile(b"\xc3\x97|\xc3\xb7|\xc4\xb0").search
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of Latin letters (below U+0240) alone, upper case among the non-ASCII ones too: they are their own normal form.
+LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u023f]+").fullmatch
+#: UTF-8 of what isn't a letter there or folds to two; kinds of bytes: 2 marks, 4 digits, 8 Latin letters beyond ASCII, 0 other letters, 1 the rest.
+NOT_PLAIN = re.compile(b"\xc3\x97|\xc3\xb7|\xc4\xb0").finditer
+KINDS = bytes(0 if 97 <= b <= 122 else 4 if 48 <= b <= 57 else 2 if chr(b) in MARKS else 8 if 0x80 <= b < 0xC0 or 0xC3 <= b < 0xC9 else 1 for b in range(256))
+#: A-Z folded, ASCII white space as spaces.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: Words that the model gets at once, and texts that are split at once.
+LOT, LOT_TEXTS = 4000, 512
 PROBE = "It's a'b x1. Y,\t2\n<|end é́ ́c, d.E\rf THE!? (q) 1.5 ..a"
 
 
+def _bytes_of(strings: pa.LargeStringArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of an array of strings, and where each begins, with the end of the last."""
+    starts = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset :][: len(strings) + 1]
+    first, last = int(starts[0]), int(starts[-1])
+    return strings.buffers()[2].slice(first, last - first).to_pybytes() if last > first else b"", starts - first
+
+
+def _strings(starts: np.ndarray, data: bytes) -> pa.LargeStringArray:
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64).tobytes()), pa.py_buffer(data))
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes that lie in `flat`, those numbered `at` in turn, and their sizes."""
+    begin, much = np.cumsum(size) - size, size[at]
+    upto = np.cumsum(much)
+    return flat[np.repeat(begin[at] - upto + much, much) + np.arange(upto[-1] if len(upto) else 0)], much
+
+
+def stems(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded words parted from the marks at their ends: all places where pieces begin (and the end), and which words are parted.
+
+    A word is parted where the model does so for sure: its stem is ASCII letters and digits, or Latin letters alone.
+    """
+    n = len(starts) - 1
+    kind = bytearray(data.translate(KINDS))
+    for m in NOT_PLAIN(data):
+        kind[m.start()] = 1
+    kind = np.frombuffer(kind, np.uint8)
+    held = lambda bit: np.diff(np.concatenate(([0], np.cumsum(kind & bit, dtype=np.int32)))[starts]) // bit
+    counts = {bit: held(bit) for bit in (1, 2, 4, 8)}  # of other bytes, marks, digits, bytes beyond ASCII
+    last = np.maximum.accumulate(np.where(kind & 2, -1, np.arange(len(kind)))) if len(kind) else np.zeros(0, np.int64)
+    ends = starts[1:]
+    some = ends > starts[:-1]
+    stem = np.where(some, last[np.maximum(ends, 1) - 1] + 1 if len(kind) else 0, 0)
+    parted = some & (stem > starts[:-1]) & (ends - stem == counts[2]) & (counts[2] > 0) & (counts[1] == 0) & ((counts[4] == 0) | (counts[8] == 0))
+    places = np.concatenate((starts, np.zeros(int(parted.sum()), np.int64)))
+    places[n + 1 :] = stem[parted]
+    return np.sort(places, kind="stable"), parted.astype(np.int64)
+
+
 class WordEncoder:
     """Encodes whole texts with a `tokenizers` model through a bounded memo of white-space-delimited words.
 
     The models this serves drop ASCII white space, fold case and split marks from words before BPE,
     so the ids of a text are those of its lower-cased words in turn. Whether that holds is probed for
     a model; where it doesn't, and for texts that may hold a special token, whole texts are encoded.
+
+    A lot of texts is split and dictionary-encoded by Arrow, its distinct words are looked up or learned,
+    and the ids are gathered by offsets. The memo has two halves: words met since the last turn, and
+    those met before; when the newer half is full, the older one is forgotten.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.memo: dict[bytes, bytes] = {}
+        self.end_id, self.width = end_id, np.dtype(self.dtype).itemsize
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # A copy for words of letters: it parts at white space alone, which is all that splits those.
-        from tokenizers import normalizers, pre_tokenizers
-
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Lowercase()
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -69,63 +121,85 @@ class WordEncoder:
         special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special)
         self.cut_id, self.cut = special[0] if special else (0, "")
         one = lambda w: self.model.encode(w, add_special_tokens=False).ids
-        pieces = [x for w in PROBE.encode().lower().split() for x in self._pieces(w) if x]
-        self.exact = self.cut.startswith("<|") and one(PROBE) == [i for w in pieces for i in one(w.decode())]
-
-    @staticmethod
-    def _plain(word: bytes) -> bool:
-        """Whether a folded word is Latin letters alone: its normal form is itself, and nothing splits it."""
-        return not word.translate(None, LATIN) and (word.isascii() or NOT_PLAIN(word) is None)
-
-    @classmethod
-    def _pieces(cls, word: bytes) -> tuple[bytes, bytes]:
-        stem = word.rstrip(MARKS)
-        return (stem, word[len(stem) :]) if stem.isalnum() or cls._plain(stem) else (word, b"")
-
-    def _whole(self, text: bytes) -> bytes:
-        return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, new: set[bytes], split: list[list[bytes]]) -> None:
-        """Put these words into the memo, which keeps all of `split`: their unseen pieces go to the model in lots."""
-        memo, width = self.memo, np.dtype(self.dtype).itemsize
-        if len(memo) + 2 * len(new) > CACHE_WORDS:  # long words are the rare ones
-            short = sorted(memo, key=len)[: CACHE_WORDS // 2]
-            memo = self.memo = {w: memo[w] for w in chain(short, *split) if w in memo}
-        memo[b""] = b""
-        whole = [w for w in new if w[-1] not in MARKS]
-        pairs = [(w, *self._pieces(w)) for w in new if w[-1] in MARKS]
-        todo = {x for p in pairs for x in p[1:]}.difference(memo)
-        todo.update(whole)
-        plain = [x for x in todo if not x.translate(None, LATIN) and (x.isascii() or NOT_PLAIN(x) is None)]
-        rest = list(todo.difference(plain))
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+        words = PROBE.encode().lower().split()
+        cuts, _ = stems(b"".join(words), np.cumsum([0, *map(len, words)]))
+        self.exact = self.cut.startswith("<|") and one(PROBE) == [i for w in _strings(cuts, b"".join(words)).to_pylist() for i in one(w)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Put these pieces into the memo; the model gets them in lots."""
+        memo, width = self.memo, self.width
+        plain = list(filter(LETTERS, new))
+        rest = list(filterfalse(LETTERS, new))
+        for at in range(0, len(plain), LOT):
+            some = plain[at : at + LOT]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             cuts = (width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(some):  # not a model that marks the ends of words
                 rest += some
                 continue
             raw = ids.astype(self.dtype).tobytes()
-            memo.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts))))
-        for at in range(0, len(rest), 1000):
-            some = rest[at : at + 1000]
-            ids = np.array(self.model.encode_batch_fast([self.cut.join(w.decode() for w in some)], add_special_tokens=False)[0].ids, np.int64)
+            memo.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+        for at in range(0, len(rest), LOT):
+            some = rest[at : at + LOT]
+            ids = np.array(self.model.encode_batch_fast([self.cut.join(some)], add_special_tokens=False)[0].ids, np.int64)
             cuts = width * np.flatnonzero(ids == self.cut_id)
             raw = ids.astype(self.dtype).tobytes()
             memo.update(zip(some, (raw[i:j] for i, j in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
-        memo.update((w, memo[a] + memo[b]) for w, a, b in pairs if b)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text with the end id appended, as little-endian bytes."""
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pieces of words, as bytes."""
+        if len(self.memo) + len(words) > CACHE_WORDS // 2:
+            self.older, self.memo = self.memo, {}
+        memo = self.memo
+        memo[""] = b""
+        got = list(map(memo.get, words))
+        if None in got:
+            unknown = [w for w, x in zip(words, got) if x is None]
+            before = list(map(self.older.get, unknown))
+            memo.update(filter(itemgetter(1), zip(unknown, before)))
+            self._learn([w for w, x in zip(unknown, before) if not x])
+            got = list(map(memo.__getitem__, words))
+        return got
+
+    def encode_lot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id appended; where each text's ids begin, and the end of the last)."""
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.exact else np.ones(len(texts), bool)
+        data, starts = _bytes_of(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        lists = pc.split_pattern(_strings(starts, data.translate(FOLD)), " ")
+        codes = lists.flatten().dictionary_encode()
+        data, starts = _bytes_of(codes.dictionary)
+        cuts, parted = stems(data, starts)
+        pieces = _strings(cuts, data).dictionary_encode()
+        flat, size = self._gather(self._ids_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pieces.indices.to_numpy())
+        size = np.add.reduceat(size, np.cumsum(1 + parted) - 1 - parted) if len(parted) else size  # of words, from their pieces
+        # More "words", which no text has: the end id, and the ids of each text that is encoded whole.
+        more = [np.array([self.end_id], self.dtype).tobytes(), *(self._whole(texts[k].as_py()) for k in np.flatnonzero(whole).tolist())]
+        size = np.concatenate((size, np.fromiter(map(len, more), np.int64, len(more)) // self.width))
+        flat = np.concatenate((flat, np.frombuffer(b"".join(more), self.dtype)))
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        after = 1 + whole.astype(np.int64)  # what each text has after its words
+        last = np.cumsum(after) - 1
+        extra = np.full(int(after.sum()), len(codes.dictionary), np.int64)
+        extra[last[whole] - 1] += 1 + np.arange(int(whole.sum()))
+        at = np.insert(codes.indices.to_numpy().astype(np.int64), np.repeat(offsets[1:] - offsets[0], after), extra)
+        ids, much = _gathered(flat, size, at)
+        return ids, np.concatenate(([0], np.cumsum(much)[offsets[1:] - offsets[0] + last]))
+
+    def _gather(self, lots: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, lots), np.int64, len(lots)) // self.width
+        return _gathered(np.frombuffer(b"".join(lots), self.dtype), size, at)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (none null) with the end id appended, as little-endian bytes."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 128):
-            some = texts[at : at + 128]
-            split = [t.lower().split() if self.exact and b"<|" not in t else None for t in some]
-            known = list(filter(None, split))
-            if new := set(filterfalse(self.memo.__contains__, chain.from_iterable(known))):
-                self._learn(new, known)
-            get = self.memo.__getitem__
-            out += [(self._whole(t) if words is None else b"".join(map(get, words))) + self.end for t, words in zip(some, split)]
+        for at in range(0, len(texts), LOT_TEXTS):
+            ids, ends = self.encode_lot(texts.slice(at, LOT_TEXTS))
+            raw, ends = ids.tobytes(), (ends * self.width).tolist()
+            out += map(raw.__getitem__, map(slice, ends, ends[1:]))
         return out
 
 
@@ -192,20 +266,31 @@ def write_token_frames(docs: DataFrame, out: str, tokenizer: str, end_id: int, i
     spark = docs.sparkSession
     small_batches(spark)
     n = parts(spark)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    cuts = np.unique(np.array(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], np.float64)).astype(np.int64)
+    least = np.iinfo(np.int64).min  # stands for null
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(least))).alias("doc_id"))
+    cuts, shares = np.unique(np.array(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], np.float64).astype(np.int64), return_counts=True)
+    # File 0 has the ids below all cuts. An id on m > 1 cuts has so many rows that it gets m files, by a hash of its frames.
+    first = 1 + np.cumsum(np.where(shares > 1, shares + 1, 1)) - np.where(shares > 1, shares + 1, 1)
+    files = int(first[-1] + (shares[-1] + 1 if shares[-1] > 1 else 1)) if len(cuts) else 1
+
+    def placed_at(ids: np.ndarray, hashes: list[int]) -> np.ndarray:
+        at = np.searchsorted(cuts, ids, side="right") - 1
+        out = np.where(at < 0, 0, first[at]) if len(cuts) else np.zeros(len(ids), np.int64)
+        for k in np.flatnonzero((at >= 0) & (shares[at] > 1)) if len(cuts) else ():
+            out[k] += (hashes[k] * int(shares[at[k]])) >> 64 if ids[k] == cuts[at[k]] else shares[at[k]]
+        return out
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, zip_ = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=level, write_checksum=True)
         for b in batches:
-            ids, texts = b.column(0), pc.fill_null(b.column(1).cast(pa.large_binary()), b"").to_pylist()
-            raw = coder.encode(texts)
-            width = np.dtype(coder.dtype).itemsize
-            place = np.searchsorted(cuts, pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int32()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()), pa.array(map(zip_.compress, raw), pa.binary())], ["doc_id", "part", "n_tokens", "width", "checksum", "frame"])
+            ids, width = b.column(0), coder.width
+            raw = coder.encode(pc.fill_null(b.column(1), ""))
+            hashes = list(map(xxhash.xxh64_intdigest, raw))
+            place = placed_at(pc.fill_null(ids, int(least)).to_numpy(), hashes)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int32()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array([h & 0xFFFFFFFF for h in hashes], pa.int64()), pa.array(map(zip_.compress, raw), pa.binary())], ["doc_id", "part", "n_tokens", "width", "checksum", "frame"])
 
     frames = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(encode), "doc_id long, part int, n_tokens long, width int, checksum long, frame binary")
-    placed = frames.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+    placed = frames.repartitionById(files, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, ids, sink, part, tokens, width = [], [], None, None, 0, 2

@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -70,6 +71,18 @@ def test_empty_table_gives_no_files(spark, nothing):
     assert token_frames.read_token_frames(spark, out).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_an_id_with_most_rows_gets_several_files(spark, plain, hot):
+    rows = [(hot if k % 4 else k, f"word{k} and {k * 7} more") for k in range(400)]
+    out = shared_dir(spark)
+    manifest = token_frames.write_token_frames(spark.createDataFrame(rows, "doc_id long, text string"), out, PATH, 2)
+    assert sum(hot in token_frames.FrameFile(f"{out}/{m['file']}").ids for m in manifest) > 2
+    got = sorted(token_frames.read_token_frames(spark, out).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(ids_of(plain, t))) for i, t in rows)
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_memo_is_exact(plain, monkeypatch):
     import random
 
@@ -79,7 +92,7 @@ def test_memo_is_exact(plain, monkeypatch):
     r = random.Random(5)
     parts = [*"abcZE'’stre19 .,!\t\n\r\x0b\x0c\x1c\x85é́ßΣσİ中文ﬁ<|>", "\xa0", "　", "'s", "the. ", "AND, ", "<|endoftext|>", "<|end", "x!? ", "Ünï "]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    got = coder.encode([t.encode() for t in texts])
+    got = coder.encode(pa.array(texts))
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids_of(plain, t) for t in texts]
 
 
