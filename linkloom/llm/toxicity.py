@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm._shared import lean, small_batches, stored
 
-SAMPLE_ROWS, FOLDS, MAX_TERMS, MAX_LEXICON, MIN_TOXIC_DOCS = 24_000, 3, 200_000, 5_000, 4
+SAMPLE_ROWS, FOLDS, MIN_TOXIC_DOCS = 24_000, 3, 4
 MIN_LOG_ODDS, THRESHOLD = 2.5, 0.7
 #: Common insults, and words that address somebody, in English, German, French and Spanish.
 INSULTS = "idiot moron stupid dumb fool loser scum trash pathetic worthless disgusting clown imbecile filth garbage vermin dummkopf trottel abschaum arschloch blödmann crétin imbécile salaud connard ordure estúpido basura imbécil tonto inútil".split()
@@ -37,7 +37,7 @@ _EDGE = "\"'()[]{}<>.,;:!?*#$%&|=-_~/\\"
 #: Characters that stand for letters in masked words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
 _MIXED = re.compile(r"[^\W\d_][@$*0-9._!-]+[^\W\d_]")
-PREFIXES, MEMO_WORDS = (4, 5, 6, 7, 8), 600_000
+PREFIXES, MEMO_WORDS = (4, 5, 6, 7, 8), 300_000
 FEATURES = ("log_words", "hits", "strong", "weight", "log_hits", "max_weight", "near_you", "you", "capitals", "caps_words", "exclaims", "questions", "punctuation", "symbols", "digits", "masked", "masked_hits", "runs")
 
 
@@ -51,6 +51,7 @@ class Words(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
+        self.same: dict[tuple, tuple] = {}  # nearly all words share a few descriptions
 
     def _weight(self, w: str) -> float:
         return max((self.lexicon.get(t, 0.0) for t in terms(w)), default=0.0)
@@ -65,7 +66,8 @@ class Words(dict):
         if masked and not weight:
             weight = self._weight(low.translate(_LEET))
             hidden = weight > 0
-        self[word] = got = (weight, masked, hidden, low in SECOND_PERSON, len(bare) > 1 and bare.isupper())
+        got = (weight, masked, hidden, low in SECOND_PERSON, len(bare) > 1 and bare.isupper())
+        self[word] = got = self.same.setdefault(got, got)
         return got
 
 
@@ -145,11 +147,11 @@ class Trees:
 
 
 def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: knots (raw score, probability) to interpolate between."""
-    order = np.lexsort((y, z))
+    """Pooled adjacent violators: knots (raw score, probability) to interpolate between. Rows of one score are one block from the start."""
+    at, of, count = np.unique(z, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []  # sum of y, count, sum of z
-    for a, b in zip(z[order].tolist(), y[order].tolist()):
-        blocks.append([b, 1, a])
+    for a, n, b in zip(at.tolist(), count.tolist(), np.bincount(of, y, len(at)).tolist()):
+        blocks.append([b, n, a * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [u + v for u, v in zip(blocks[-1], last)]
@@ -169,8 +171,7 @@ class Model:
 def weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Log-odds weights of terms by how many toxic and clean documents hold them; the listed insults have 5 from the start."""
     odds = {t: np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)) for t, a, b in counts if a >= MIN_TOXIC_DOCS}
-    best = sorted(((w, t) for t, w in odds.items() if w >= MIN_LOG_ODDS), reverse=True)[:MAX_LEXICON]
-    return {w: 5.0 for w in INSULTS} | {t: float(w) for w, t in best}
+    return {w: 5.0 for w in INSULTS} | {t: float(w) for t, w in sorted(odds.items()) if w >= MIN_LOG_ODDS}
 
 
 def _doc_terms(text: str) -> set[str]:
@@ -211,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
     schema = "term string, fold int, n long"
     by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"f{k}") for k in range(FOLDS)]
     bad = sample.where("toxic = 1").select("text", "fold").mapInArrow(lean(count(None)), schema).groupBy("term").agg(F.sum("n").alias("n"), *by_fold).where(F.col("n") >= MIN_TOXIC_DOCS)
-    found = {r.term: [r[f"f{k}"] for k in range(FOLDS)] for r in bad.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
+    found = {r.term: [r[f"f{k}"] for k in range(FOLDS)] for r in bad.collect()}  # terms of the sample alone
     good = sample.where("toxic = 0").select("text", "fold").mapInArrow(lean(count(frozenset(found))), schema).groupBy("term").agg(*by_fold)
     against = {r.term: [r[f"f{k}"] for k in range(FOLDS)] for r in good.collect()}  # of terms in `found` alone
     none = [0] * FOLDS
@@ -242,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LEXICON terms and the trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of the sample and the trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value.lexicon)

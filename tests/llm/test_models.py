@@ -18,15 +18,25 @@ def test_trees_learn_an_interaction():
     assert ((t.predict(x[2000:]) > 0) == y[2000:]).mean() > 0.95
 
 
-def test_isotonic_is_the_monotone_fit():
-    rng = np.random.default_rng(1)
-    z = rng.random(400)
+@pytest.mark.parametrize("values", [400, 25, 1])
+def test_isotonic_is_the_monotone_fit(values):
+    """Against the minimax formula over the distinct scores: the largest mean that starts no later, of the least that end no earlier."""
+    rng = np.random.default_rng(values)
+    z = np.round(rng.random(400) * values) / values if values < 400 else rng.random(400)
     y = (rng.random(400) < z).astype(float)
     at, p = toxicity.isotonic(z, y)
     assert (np.diff(at) > 0).all() and (np.diff(p) > 0).all()
-    order = np.argsort(z)
-    fit = p[np.searchsorted(at, at)]
-    assert p.min() >= 0 and p.max() <= 1 and len(fit) < len(order)
+    u = np.unique(z)
+    total, count = np.array([y[z == v].sum() for v in u]), np.array([(z == v).sum() for v in u])
+    mean = lambda j, k: total[j : k + 1].sum() / count[j : k + 1].sum()
+    want = [max(min(mean(j, k) for k in range(i, len(u))) for j in range(i + 1)) for i in range(len(u))]
+    assert np.allclose(np.unique(np.round(want, 9)), np.round(p, 9))
+    assert np.allclose([np.average(z[np.isin(z, u[np.isclose(want, q)])]) for q in p], at)
+
+
+def test_tied_scores_are_pooled():
+    at, p = toxicity.isotonic(np.zeros(10), np.arange(10) % 2)
+    assert at.tolist() == [0] and p.tolist() == [0.5]
 
 
 def toxic_table(spark, n=1200):
