@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm._shared import ROW, lean, row_key, small_batches, stored, without, worker_keeps
 
-#: Sampled texts per language for the fit, at most languages and so rows of the model.
-SAMPLE_DOCS, MAX_LANGUAGES = 1500, 200
+#: Sampled texts per language for the fit; cells of the model (64 MB): with more than 64 languages trigrams share buckets.
+SAMPLE_DOCS, MODEL_CELLS = 1500, 1 << 24
 BUCKETS, MIN_POSTERIOR, MIN_LETTERS = 1 << 18, 0.6, 3
 #: Pseudo-counts of the priors, and how many independent trigrams a text counts as at most.
 HOST_WEIGHT, SUFFIX_WEIGHT, MAX_EVIDENCE = 20.0, 50.0, 200.0
@@ -53,14 +53,16 @@ class TextModel:
     """Mean log-likelihood ratio of a text's trigrams under each language, against a flat model."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
+        """counts: language x bucket, a power of two of these, at most BUCKETS."""
         self.languages = languages
+        self.shift = (BUCKETS // counts.shape[1]).bit_length() - 1
         smooth = counts + 0.05
         self.table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)  # bucket x language
         self.noise = np.float32(np.log(1 / 20_000))
 
     def score(self, text: bytes) -> tuple[int, list[float]]:
         """(letters, log-likelihood per trigram of each language above noise)."""
-        g = trigrams(text)
+        g = trigrams(text) >> self.shift
         if not len(g):
             return 0, [0.0] * len(self.languages)
         total = np.zeros(len(self.languages))
@@ -76,33 +78,38 @@ def fit_text_model(docs: DataFrame, label: Column, id_col: str = "doc_id", text_
     is drawn where the texts lie. The executors count; the driver gets a row per language and bucket.
     """
     h = F.xxhash64(F.col(id_col), F.col(text_col))
-    marked = docs.select(label.cast("string").alias("language"), F.col(text_col).cast("string").alias("text"), h.alias("h")).where("language is not null and text is not null")
-    found = marked.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
+    marked = docs.select(label.cast("string").alias("language"), F.col(text_col).cast("string").alias("text"), h.alias("h")).where("language is not null")
+    found = marked.groupBy("language").count().collect()  # a row per language
     languages = sorted(r.language for r in found)
-    counts = np.zeros((len(languages), BUCKETS))
     if not found:
-        return TextModel([], counts)
+        return TextModel([], np.zeros((0, BUCKETS)))
+    buckets = BUCKETS
+    while buckets > 256 and buckets * len(languages) > MODEL_CELLS:
+        buckets //= 2
+    counts = np.zeros((len(languages), buckets))
     cut = F.create_map(*(F.lit(x) for r in found for x in (r.language, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * per_language // r["count"]))))
-    sample = marked.where(F.col("h") <= cut[F.col("language")])
+    sample = marked.where("text is not null").where(F.col("h") <= cut[F.col("language")])
+    shift = (BUCKETS // buckets).bit_length() - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[str, np.ndarray] = {}
             for name, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
-                sums[name] = sums.get(name, 0) + np.bincount(trigrams(text), minlength=BUCKETS)
+                sums[name] = sums.get(name, 0) + np.bincount(trigrams(text) >> shift, minlength=buckets)
             for name, x in sums.items():
                 at = np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], ["language", "bucket", "n"])
 
+    row_of = {name: k for k, name in enumerate(languages)}
     for r in sample.select("language", "text").mapInArrow(lean(count), "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[languages.index(r.language), r.bucket] = r.n
+        counts[row_of[r.language], r.bucket] = r.n
     return TextModel(languages, counts)
 
 
 def text_evidence(docs: DataFrame, model: TextModel, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of `keep` (name: column) with letters and loglik (array, per language, per trigram)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, at most 200 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_CELLS floats
     plain = docs.select(F.col(text_col).cast("string").alias("_text"), *(c.alias(n) for n, c in keep.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +134,14 @@ def _posterior(df: DataFrame, logs: list[Column], name: str) -> DataFrame:
     return df.drop("_top", "_sum", *(f"_{x}{k}" for k in n for x in "fe"))
 
 
-def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """A row per document: doc_id, language (null: rejected), posterior, letters, evidence (array, by language)."""
+def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, min_posterior: float = MIN_POSTERIOR, teaches: Column | None = None) -> DataFrame:
+    """A row per document: doc_id, language (null: rejected), posterior, letters, evidence (array, by language).
+
+    teaches: which rows count for the priors of hosts, suffixes and declarations (all); those the text model was not fitted on.
+    """
     none = F.lit(None).cast("string")
-    keep = {"doc_id": F.col(id_col), "declared": none if declared is None else F.lower(declared.cast("string")), "host": none if host is None else host.cast("string"), "suffix": none if suffix is None else suffix.cast("string")}
-    rows = stored(text_evidence(docs, model, keep, text_col))
+    keep = {"doc_id": F.col(id_col), "declared": none if declared is None else F.lower(declared.cast("string")), "host": none if host is None else host.cast("string"), "suffix": none if suffix is None else suffix.cast("string"), "teaches": F.lit(True) if teaches is None else teaches}
+    rows = stored(text_evidence(docs, model, keep, text_col), narrow=True)
     names, n = model.languages, len(model.languages)
     if not n:
         return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), "letters", F.array().cast("array<double>").alias("evidence"))
@@ -141,7 +151,7 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     each = lambda c: [F.sum(F.get(F.col("alone"), F.lit(k))).alias(f"{c}{k}") for k in range(n)]
 
     # Priors from sums of text posteriors: over all (one row), by suffix smoothed towards that, by host towards its suffix.
-    seen = rows.where("alone is not null")
+    seen = rows.where("alone is not null and teaches")
     total = seen.agg(*each("g"), F.count("*").alias("n")).first()
     base = [((total[f"g{k}"] or 0.0) + 1) / (total["n"] + n) for k in range(n)]
     by_suffix = seen.where("suffix is not null").groupBy("suffix").agg(*each("s"), F.count("*").alias("n"))
@@ -151,7 +161,10 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     # P(declared | language) in proportion to P(language | declared) / P(language): how a declaration's texts read.
     by_declared = seen.where("declared is not null").groupBy("declared").agg(*each("d"), F.count("*").alias("n"))
     by_declared = stored(by_declared.select("declared", *(F.ln((F.col(f"d{k}") + HOST_WEIGHT * base[k]) / (F.col("n") + HOST_WEIGHT) / base[k]).alias(f"d{k}") for k in range(n))), few=True)
-    wide = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left").join(by_declared, "declared", "left")
+    # Rows without a host match none; dealt by a hash of theirs they do not meet in one task. A hot host Spark splits by size.
+    salt = F.when(F.col("host").isNull(), 1 + F.pmod(F.xxhash64("doc_id", "loglik"), F.lit(1 << 20))).otherwise(0)
+    salted = rows.withColumns({"salt": salt, "host": F.coalesce("host", F.lit(""))})
+    wide = salted.join(by_host.withColumn("salt", F.lit(0).cast("long")), ["host", "salt"], "left").join(by_suffix, "suffix", "left").join(by_declared, "declared", "left")
     logs = [heard[k] + F.coalesce(F.col(f"h{k}"), F.ln(f"s{k}"), F.lit(math.log(base[k]))) + F.coalesce(f"d{k}", F.lit(0.0)) for k in range(n)]
     fused = _posterior(wide.select("doc_id", "letters", "loglik", *(x.alias(f"x{k}") for k, x in enumerate(logs))), [F.col(f"x{k}") for k in range(n)], "evidence")
     judged = fused.select("doc_id", "letters", "evidence", F.array_max("loglik").alias("fit"))

@@ -181,7 +181,7 @@ def score_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:
     """A row per document: doc_id, base and added spans (arrays of start, kind, end)."""
-    found = stored(scan(docs, id_col, text_col))
+    found = stored(scan(docs, id_col, text_col), narrow=True)
     trusted = score_patterns(found, **scoring)
     span = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     hits = found.select("row", F.explode("other").alias("x")).select("row", "x.start", "x.end", F.explode("x.contexts").alias("context")).join(trusted, "context")

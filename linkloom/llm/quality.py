@@ -109,7 +109,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lines = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("\n")) + 1
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")).alias("stratum"), lines.cast("long").alias("n_lines"))
     counted = measure(plain, ["doc_id", "stratum", "n_lines"])
-    counted = stored(counted.withColumns({"base_failed": base_failed(), "level": failing_level()}))
+    counted = stored(counted.withColumns({"base_failed": base_failed(), "level": failing_level()}), narrow=True)
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = proven_levels(counted.where("not base_failed").join(marks, "doc_id").select("stratum", "level", "quality"), risk, error)
     rows = counted.join(chosen, "stratum", "left")

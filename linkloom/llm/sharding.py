@@ -21,7 +21,7 @@ from linkloom.llm._shared import parts, stored
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, size, text_crc32, start (bytes before it), shard, slot (its place in the shard)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
+    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), narrow=True)
     order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
     laid = stored(sizes.repartitionByRange(parts(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()))
     totals = laid.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))

@@ -94,4 +94,5 @@ def test_queries_take_messy_tables(spark, messy, tmp_path, name):
         messy.where(keep).write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").where(keep).write.parquet(f"{d}/labels.parquet")
         spark.createDataFrame([(1, "the of and river stone light under harbour walks slowly when"), (None, None)], "item_id long, text string").where(keep).write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(1, "https://a.example.org/", '<html lang="en"><body><p>the of and river stone</p></body></html>'), (2, None, None), (None, "x", "<p>no end")], "page_id long, url string, html string").where(keep).write.parquet(f"{d}/pages.parquet")
         assert queries.QUERIES[name](spark, str(d)).count() == (messy.count() if keep == "true" else 0)
