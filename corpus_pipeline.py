@@ -15,7 +15,7 @@ def _chars(docs: DataFrame) -> str | None:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language can be told go."""
-    model, evidence = queries.language_evidence(docs)
+    model, evidence = queries.language_evidence(spark, docs, sf_dir)
     return langid.drop_rejected(docs, model, **evidence)
 
 
