@@ -60,7 +60,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-ROW, MAX_GONE = "__linkloom_row", 500_000
+#: Up to so many removed rows go to the texts as a table; beyond that as a filter of at most 2^MAX_FILTER_BITS bits (128 MB).
+ROW, MAX_GONE, MAX_FILTER_BITS = "__linkloom_row", 500_000, 30
 
 
 def row_key(df: DataFrame, id_col: str) -> Column:
@@ -68,13 +69,32 @@ def row_key(df: DataFrame, id_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("hash"))
 
 
+def keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """df with columns c0, c1, ... whatever their names are, and its row_key as k."""
+    return df.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(df.columns)), row_key(df, id_col).alias("k"))
+
+
 def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """df less the rows whose key is in `gone` (columns id, hash), its columns unchanged.
 
-    `gone` is stored and counted first: up to MAX_GONE rows (some tens of MB) it goes to where the texts
-    are, so that these don't move; beyond that both sides are dealt by key.
+    `gone` is stored and counted first: up to MAX_GONE rows (some tens of MB) it goes to where the texts are. Beyond
+    that a bitmap of its hashes goes there; only rows on a set bit (those in `gone`, and one in 64 others
+    while the bitmap is below its limit) are dealt by key and confirmed, all others stay where they are.
     """
-    gone = stored(gone.select("id", "hash").distinct(), few=True).toDF("__id", "__hash")
-    gone = F.broadcast(gone) if gone.count() <= MAX_GONE else gone
-    keyed = df.withColumn(ROW, row_key(df, id_col))
-    return keyed.join(gone, (F.col(f"{ROW}.hash") == F.col("__hash")) & F.col(f"{ROW}.id").eqNullSafe(F.col("__id")), "left_anti").drop(ROW)
+    gone = stored(gone.select("id", "hash").distinct(), few=True).toDF("gone_id", "gone_hash")
+    n = gone.count()
+    match = (F.col("k.hash") == F.col("gone_hash")) & F.col("k.id").eqNullSafe(F.col("gone_id"))
+    rows = keyed(df, id_col)
+    plain = lambda kept: kept.drop("k").toDF(*df.columns)
+    if n <= MAX_GONE:
+        return plain(rows.join(F.broadcast(gone), match, "left_anti"))
+    spot = lambda h: F.pmod(h, F.lit(1 << min(MAX_FILTER_BITS, max(16, (64 * n).bit_length())))) + 1
+    at = spot(F.col("gone_hash"))
+    maps = stored(gone.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), few=True)
+    own = spot(F.col("k.hash"))
+    place = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
+    probed = rows.join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("bucket"), "left").withColumn("held", held).drop("bucket", "bits")
+    rest = probed.where("held").drop("held").join(gone, match, "left_anti")
+    return plain(probed.where("not held").drop("held")).union(plain(rest))

@@ -187,16 +187,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
-            for i, t in zip(b.column(0).to_pylist(), _texts(b.column(1))):
+            ids, hashes, keys = [], [], []
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2))):
                 own = list(map(_digest, set(keys_of(t, min_chars)) - {None}))
                 ids += [i] * len(own)
+                hashes += [h] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "h", "key"])
 
-    # A document's own confirmed keys come to it; of null ids all rows share one list, which does no harm.
-    held = plain.mapInArrow(lean(holders), "doc_id long, key binary").distinct().join(gone, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("keep_doc").alias("keep"))
-    both = plain.join(held, plain["doc_id"].eqNullSafe(held["doc_id"]), "left").select(plain["doc_id"], "text", "keys", "keep")
+    # A document's own confirmed keys come to it, by id and text, so rows without an id share a list only if their texts are equal.
+    hashed = plain.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    held = hashed.mapInArrow(lean(holders), "doc_id long, h long, key binary").distinct().join(gone, "key").groupBy("doc_id", "h").agg(F.collect_list("key").alias("keys"), F.collect_list("keep_doc").alias("keep"))
+    both = hashed.join(held, hashed["doc_id"].eqNullSafe(held["doc_id"]) & (hashed["h"] == held["h"]), "left").select(hashed["doc_id"], "text", "keys", "keep")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

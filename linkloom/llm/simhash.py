@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._shared import ROW, lean, parts, row_key, small_batches, stored, without, worker_keeps
+from linkloom.llm._shared import keyed, lean, parts, row_key, small_batches, stored, without, worker_keeps
 from linkloom.operators.components import components
 
 WORDS, SEED, LINK_BITS, GROUP_LIMIT, FANOUT = 3, 42, 2, 100_000, 8
@@ -246,7 +246,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = stored(docs_fp.groupBy("row").count().where("count > 1").select("row.id", "row.hash"), few=True)
     if not again.take(1):
         return single
-    copies = again.toDF("__id", "__hash")
-    keyed = single.withColumn(ROW, row_key(docs, id_col))
-    equal = keyed.join(copies, (F.col(f"{ROW}.hash") == F.col("__hash")) & F.col(f"{ROW}.id").eqNullSafe(F.col("__id")), "left_semi")
-    return without(single, again, id_col).union(equal.dropDuplicates([ROW]).drop(ROW))
+    copies = again.toDF("again_id", "again_hash")
+    equal = keyed(single, id_col).join(copies, (F.col("k.hash") == F.col("again_hash")) & F.col("k.id").eqNullSafe(F.col("again_id")), "left_semi")
+    return without(single, again, id_col).union(equal.dropDuplicates(["k"]).drop("k"))
