@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.storage import passing_tables
 from linkloom.llm import decontaminate, langid, mixing, queries, simhash, token_frames
 from linkloom.llm._shared import documents, shared_dir, stored
 
@@ -58,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each stage's table replaces the one before it, whose folder then goes."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    with passing_tables(spark, lambda: [docs]):
+        for _, stage in STAGES[:-1]:
+            kept = docs
+            with passing_tables(spark, lambda: [docs, kept]):
+                docs = stored(stage(spark, kept, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,9 +28,16 @@ def nx_keep(contigs: DataFrame, share: float) -> DataFrame:
 
 
 def fences(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
-    """One row: q1, q2, q3 (linear) and the fences q1 - k iqr, q3 + k iqr."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    """One row: q1, q2, q3 (linear) and the fences q1 - k iqr, q3 + k iqr.
+
+    Values are counted first; the values at the ranks asked for come from a running sum over ranges of them.
+    """
+    counted = running_sum(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")), [F.col("v")], "n", "upto")
+    total = counted.agg(F.sum("n").alias("total"))
+    rank = lambda q: (F.col("total") - 1) * q
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    both = counted.crossJoin(F.broadcast(total)).groupBy("total").agg(*(f(rank(q)).alias(f"{n}{int(4 * q)}") for q in (0.25, 0.5, 0.75) for n, f in (("lo", lambda r: at(F.floor(r))), ("hi", lambda r: at(F.ceil(r))))))
+    q = both.select(*((F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (rank(k / 4) - F.floor(rank(k / 4)))).alias(f"q{k}") for k in (1, 2, 3)))
     return q.select("*", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"))
 
 
@@ -59,15 +66,15 @@ def half_links(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def orientation_distances(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(a, b, orient, n, dists): distances of each pair in the four relative orientations, sorted."""
-    x = placed(pairs, contigs)
-    four = F.array(
-        F.struct(F.lit("++").alias("orient"), (F.col("la") - F.col("pa") + F.col("pb")).alias("d")),
-        F.struct(F.lit("+-").alias("orient"), (F.col("la") - F.col("pa") + F.col("lb") - F.col("pb")).alias("d")),
-        F.struct(F.lit("-+").alias("orient"), (F.col("pa") + F.col("pb")).alias("d")),
-        F.struct(F.lit("--").alias("orient"), (F.col("pa") + F.col("lb") - F.col("pb")).alias("d")),
-    )
-    return x.select("a", "b", F.inline(four)).groupBy("a", "b", "orient").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("d")).alias("dists"))
+    """(a, b, orient, n, dists): distances of each pair in the four relative orientations, sorted.
+
+    A pair's places are gathered once; the four lists are made from them afterwards. A list is as long as its pair has links.
+    """
+    x = placed(pairs, contigs).groupBy("a", "b", "la", "lb").agg(F.collect_list(F.struct("pa", "pb")).alias("p"))
+    each = lambda orient, d: F.struct(F.lit(orient).alias("orient"), F.sort_array(F.transform("p", d)).alias("dists"))
+    la, lb = F.col("la"), F.col("lb")
+    four = F.array(each("++", lambda p: la - p["pa"] + p["pb"]), each("+-", lambda p: la - p["pa"] + lb - p["pb"]), each("-+", lambda p: p["pa"] + p["pb"]), each("--", lambda p: p["pa"] + lb - p["pb"]))
+    return x.select("a", "b", F.inline(four)).select("a", "b", "orient", F.size("dists").cast("long").alias("n"), "dists")
 
 
 def bin_links(pairs: DataFrame, width: int) -> DataFrame:

@@ -179,6 +179,28 @@ def markov_clusters(links: DataFrame, inflation: float = 2.0, prune: float = 1e-
     return nodes.join(label, "node", "left").select(F.coalesce("component", "node").alias("grp"), F.col("node").alias("ctg"))
 
 
+def inflation_search(links: DataFrame, lengths: DataFrame, inflations: list[float], wanted: int, ratios: tuple[float, ...] = (0.75, 0.7, 0.65, 0.6, 0.55, 0.5), prune: float = 1e-4) -> DataFrame:
+    """(inflation, clusters, main, ratio, recommended): Markov clustering at each inflation, and which to try.
+
+    `main` counts the clusters, by falling length, before the first that is shorter than `ratio` of the one before it. The
+    strictest ratio at which any inflation gives at least `wanted` main clusters is used (else the last), and
+    of these inflations the least is recommended. lengths: ctg, len.
+    """
+    found = None
+    for x in inflations:
+        grouped = markov_clusters(links, x, prune).join(lengths, "ctg").groupBy("grp").agg(F.sum("len").alias("len")).withColumn("inflation", F.lit(float(x)))
+        found = grouped if found is None else found.union(grouped)
+    found = stored(found, few=True)
+    by_len = Window.partitionBy("inflation").orderBy(F.desc("len"), "grp")
+    drops = found.select("inflation", F.row_number().over(by_len).alias("k"), (F.lead("len").over(by_len) / F.col("len")).alias("drop"))
+    each = drops.select("inflation", "k", "drop", F.explode(F.array(*map(F.lit, ratios))).alias("ratio"))
+    main = each.groupBy("inflation", "ratio").agg(F.count("*").alias("clusters"), F.coalesce(F.min(F.when(F.col("drop") < F.col("ratio"), F.col("k"))), F.count("*")).alias("main"))
+    fit = main.agg(F.coalesce(F.max(F.when(F.col("main") >= wanted, F.col("ratio"))), F.lit(ratios[-1])).alias("ratio"))  # one row
+    used = main.join(F.broadcast(fit), "ratio")
+    least = F.min(F.when(F.col("main") >= wanted, F.col("inflation"))).over(Window.partitionBy("ratio"))  # a row per inflation
+    return used.select("inflation", "clusters", "main", "ratio", F.coalesce(F.col("inflation") == least, F.lit(False)).alias("recommended"))
+
+
 def attractors(m: DataFrame) -> DataFrame:
     """(i, n): rows of a settled matrix with a diagonal entry, and how many members each draws."""
     rows = m.where("i = j and v > 0").select("i")

@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions.storage import stored
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, keep: list[str]) -> DataFrame:
     """left with the columns `keep` of the last right row whose `start` is at most `at`.
 
-    Both sides are laid out once by key and place, and the last seen right row is carried on: one
-    shuffle, no range condition. Left rows before any start get nulls.
+    Both sides are laid out once by ranges of key and place, so a key with most rows fills several tasks. The last
+    seen right row is carried on inside a task, and into the next ones that go on with the key as a row
+    per task: one shuffle, no range condition. Left rows before any start get nulls.
     """
     cols = left.columns
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     right_row = F.struct(F.col(start).alias(start), *(F.col(c) for c in keep if c != start))
     a = left.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*cols).alias("_l"), F.lit(None).cast(right.select(right_row.alias("r")).schema["r"].dataType).alias("_r"))
     b = right.select(*by, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*cols).alias("l")).schema["l"].dataType).alias("_l"), right_row.alias("_r"))
-    order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    merged = a.union(b).withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_side = 1")
+    laid = stored(a.union(b).repartitionByRange(n, *by, "_at", "_side").withColumn("_part", F.spark_partition_id()))
+    order = Window.partitionBy("_part", *by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    tails = laid.groupBy(*by, "_part").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))).alias("_tail"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that has the key
+    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).where("_carry is not null")
+    carry = carry.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_of"), "_carry")  # at most a row per task
+    merged = laid.withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_side = 1")
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    merged = merged.join(F.broadcast(carry), same, "left").withColumn("_r", F.coalesce("_r", "_carry"))
     return merged.select(*(F.col(f"_l.{c}").alias(c) for c in cols), *(F.col(f"_r.{c}").alias(c) for c in keep))
 
 

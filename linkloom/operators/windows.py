@@ -60,6 +60,19 @@ def coverage(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame
     return marks.withColumn("depth", F.sum("d").over(w)).drop("d")
 
 
+def intersection(x: DataFrame, y: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """(by, start, end): what the union of closed intervals x has in common with that of y.
+
+    One sweep over the marks of both sides; no interval is ever paired with another.
+    """
+    mark = lambda df, a, b: df.select(*by, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(a).alias("dx"), F.lit(b).alias("dy")), F.struct((F.col(end) + 1).alias("at"), F.lit(-a).alias("dx"), F.lit(-b).alias("dy")))))
+    marks = mark(x, 1, 0).union(mark(y, 0, 1)).groupBy(*by, "at").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+    w = Window.partitionBy(*by).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    held = marks.select(*by, "at", F.sum("dx").over(upto).alias("nx"), F.sum("dy").over(upto).alias("ny"), (F.lead("at").over(w) - 1).alias("fin"))
+    return merge_intervals(held.where("nx > 0 and ny > 0").select(*by, F.col("at").alias(start), F.col("fin").alias(end)), by, start, end)
+
+
 def valleys(spans: DataFrame, by: str, start: str, end: str, share: float = 0.2, long: int = 3) -> DataFrame:
     """(by, first, last, depth): between two long regions of depth >= share x median, the stretches of least depth.
 
@@ -74,13 +87,14 @@ def valleys(spans: DataFrame, by: str, start: str, end: str, share: float = 0.2,
     mid = ranked.groupBy(by).agg(((at_rank(1) + at_rank(2)) / 2).alias("mid"))
     flagged = steps.join(mid, by).withColumn("high", F.col("depth") >= share * F.col("mid"))
     turn = (F.lag("high").over(w).isNull() | (F.lag("high").over(w) != F.col("high"))).cast("int")
-    runs = flagged.withColumn("turn", turn).withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    high = runs.where("high").groupBy(by, "run").agg(F.min("at").alias("first"), F.max("fin").alias("last")).where(F.col("last") - F.col("first") + 1 >= long)
-    between = high.withColumn("next", F.lead("first").over(Window.partitionBy(by).orderBy("first"))).where("next is not null").select(by, (F.col("last") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
-    inside = steps.join(between, by).where("at between lo and hi")
-    least = inside.groupBy(by, "lo", "hi").agg(F.min("depth").alias("depth"))
-    low = inside.join(least, [by, "lo", "hi", "depth"])
-    return low.groupBy(by, "lo", "hi", "depth").agg(F.min("at").alias("first"), F.max("fin").alias("last")).select(by, "first", "last", "depth")
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    runs = flagged.withColumn("turn", turn).withColumn("run", F.sum("turn").over(upto))
+    width = F.max("fin").over(Window.partitionBy(by, "run")) - F.min("at").over(Window.partitionBy(by, "run")) + 1
+    region = runs.withColumn("region", F.when(F.col("high") & (width >= long), F.col("run")))
+    # A step between two long regions knows both by carrying them along the curve.
+    inside = region.withColumns({"before": F.last("region", True).over(upto), "next": F.first("region", True).over(after)}).where("region is null and before is not null and next is not null")
+    low = inside.withColumn("least", F.min("depth").over(Window.partitionBy(by, "before"))).where("depth = least")
+    return low.groupBy(by, "before", "depth").agg(F.min("at").alias("first"), F.max("fin").alias("last")).select(by, "first", "last", "depth")
 
 
 def instances(layout: DataFrame, by: str, item: str, order: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ CTE = {
     "links": "links AS (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS links FROM lineitem WHERE l_partkey <> l_suppkey AND l_linenumber >= 2 GROUP BY ALL)",
     "clusters": "clusters AS (SELECT p_partkey AS ctg, p_partkey % 7 AS grp FROM part)",
     "alleles": "alleles AS (SELECT a, b, links / (SELECT max(links) FROM links) AS sim FROM links WHERE links >= 2)",
-    "graph": "graph AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 46 AND l_discount >= 0.08 AND l_linenumber >= 4 AND l_partkey <> l_suppkey)",
+    "graph": "nxt AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER w AS one, lead(o_orderkey, 2) OVER w AS two, o_totalprice > lead(o_totalprice) OVER w AS falls FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), graph AS (SELECT src, one AS dst FROM nxt WHERE one IS NOT NULL UNION SELECT src, two FROM nxt WHERE two IS NOT NULL AND falls)",
     "layout": "layout AS (SELECT o_custkey AS scaffold, o_orderkey AS ctg, CAST(floor(o_totalprice) AS BIGINT) AS len, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS orient, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS part FROM orders)",
     "agp": "agp AS (SELECT scaffold, ctg, len, orient, part, CAST(sum(len + 100) OVER (PARTITION BY scaffold ORDER BY part) - len - 100 + 1 AS BIGINT) AS beg, CAST(sum(len + 100) OVER (PARTITION BY scaffold ORDER BY part) - 100 AS BIGINT) AS fin FROM layout)",
     "depth": "depth AS (SELECT user_id % 8 AS sample, event_type AS chrom, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS win, value AS rd, user_id % 5 AS gc, event_id FROM events)",
@@ -69,12 +69,18 @@ def alleles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_quantity >= 46 and l_discount >= 0.08 and l_linenumber >= 4 and l_partkey <> l_suppkey")
-    return rows.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    """A sparse directed graph over all orders: from each to the customer's next one, and past it if that one is cheaper."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    falls = F.col("o_totalprice") > F.lead("o_totalprice").over(w)
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("one"), F.lead("o_orderkey", 2).over(w).alias("two"), falls.alias("falls"))
+    both = F.array(F.col("one"), F.when(F.col("falls"), F.col("two")))
+    return x.select("src", F.explode(both).alias("dst")).where("dst is not null").distinct()
 
 
 def whole_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of all rows, for queries that no SQL defines; `graph` is the part that the oracles are written for."""
+    """A dense directed graph over all line items, for queries that no SQL defines."""
     rows = table(spark, d, "lineitem").where("l_partkey <> l_suppkey")
     return rows.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import graph as G
@@ -33,14 +34,19 @@ def _(s, d):
     return G.reach(graph(s, d), 3).where("level = 3").select(F.col("dst").alias("node"), F.col("src").alias("ancestor"))
 
 
-@query("unique_shortest", "WITH {graph}, " + _R3 + ", p1 AS (SELECT src, dst, 1 AS level, 1 AS paths FROM graph), p2 AS (SELECT a.src, b.dst, 2 AS level, count(*) AS paths FROM p1 a JOIN graph b ON a.dst = b.src WHERE (a.src, b.dst) IN (SELECT (src, dst) FROM r2) GROUP BY ALL), p3 AS (SELECT a.src, b.dst, 3 AS level, sum(paths) AS paths FROM p2 a JOIN graph b ON a.dst = b.src WHERE (a.src, b.dst) IN (SELECT (src, dst) FROM r3) GROUP BY ALL) SELECT src, dst, level FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) WHERE paths = 1")
+#: As far as the studied project looks for shortest paths, and for several paths.
+FAR, DEEP = 10, 5
+_WALKS = "p AS (SELECT src, dst, 1 AS level FROM graph UNION ALL SELECT p.src, g.dst, level + 1 FROM p JOIN graph g ON p.dst = g.src WHERE level < 10)"
+
+
+@query("unique_shortest", "WITH RECURSIVE {graph}, " + _WALKS + ", n AS (SELECT src, dst, level, count(*) AS paths FROM p GROUP BY ALL) SELECT src, dst, level FROM n QUALIFY level = min(level) OVER (PARTITION BY src, dst) AND paths = 1")
 def _(s, d):
-    return G.path_counts(graph(s, d), 3).where("paths = 1").select("src", "dst", "level")
+    return G.path_counts(graph(s, d), FAR).where("paths = 1").select("src", "dst", "level")
 
 
-@query("multiple_paths", "WITH RECURSIVE {graph}, p AS (SELECT src, dst, [src, dst] AS nodes FROM graph UNION ALL SELECT p.src, g.dst, list_append(nodes, g.dst) FROM p JOIN graph g ON p.dst = g.src WHERE len(nodes) < 5 AND NOT list_contains(nodes, g.dst)) SELECT src, dst, count(*) AS paths FROM p GROUP BY ALL HAVING count(*) >= 2")
+@query("multiple_paths", "WITH RECURSIVE {graph}, p AS (SELECT src, dst, [src, dst] AS nodes FROM graph UNION ALL SELECT p.src, g.dst, list_append(nodes, g.dst) FROM p JOIN graph g ON p.dst = g.src WHERE len(nodes) < 6 AND NOT list_contains(nodes, g.dst)) SELECT src, dst, count(*) AS paths FROM p GROUP BY ALL HAVING count(*) >= 2")
 def _(s, d):
-    return G.simple_paths(graph(s, d), 4).groupBy("src", "dst").agg(F.count("*").alias("paths")).where("paths >= 2")
+    return G.simple_paths(graph(s, d), DEEP).groupBy("src", "dst").agg(F.count("*").alias("paths")).where("paths >= 2")
 
 
 @query("path_nodes", "WITH RECURSIVE {graph}, p AS (SELECT src, dst, [src, dst] AS nodes FROM graph UNION ALL SELECT p.src, g.dst, list_append(nodes, g.dst) FROM p JOIN graph g ON p.dst = g.src WHERE len(nodes) < 4 AND NOT list_contains(nodes, g.dst)) SELECT src, dst, array_to_string(list_transform(nodes, lambda x: CAST(x AS VARCHAR)), '>') AS path FROM p")
@@ -48,21 +54,25 @@ def _(s, d):
     return G.simple_paths(graph(s, d), 3).select("src", "dst", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("transitive_reduction", "WITH {graph}, w2 AS (SELECT DISTINCT a.src, b.dst FROM graph a JOIN graph b ON a.dst = b.src), w3 AS (SELECT DISTINCT a.src, b.dst FROM w2 a JOIN graph b ON a.dst = b.src) SELECT src, dst FROM graph EXCEPT (SELECT * FROM w2 UNION SELECT * FROM w3)")
+@query("transitive_reduction", "WITH RECURSIVE {graph}, w AS (SELECT a.src, b.dst FROM graph a JOIN graph b ON a.dst = b.src UNION SELECT w.src, g.dst FROM w JOIN graph g ON w.dst = g.src) SELECT src, dst FROM graph EXCEPT SELECT src, dst FROM w")
 def _(s, d):
     return G.transitive_reduction(graph(s, d))
 
 
-_WIDE = "wide AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 45 AND l_partkey <> l_suppkey)"
+_FANS = "fans AS (SELECT o_custkey AS src, 1000000 + o_orderkey AS dst FROM orders UNION SELECT 1000000 + o_orderkey, 9000000 + o_custkey FROM orders UNION SELECT 1000000 + src, 1000000 + one FROM nxt WHERE one IS NOT NULL)"
 
 
-def _wide(s, d):
-    return table(s, d, "lineitem").where("l_quantity >= 45 and l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+def _fans(s, d):
+    """Every customer to its orders, these to the customer's end, and each order to the next."""
+    order = 1000000 + F.col("o_orderkey")
+    o = table(s, d, "orders").withColumn("next", F.lead(order).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    ways = F.array(F.struct(F.col("o_custkey").alias("src"), order.alias("dst")), F.struct(order.alias("src"), (9000000 + F.col("o_custkey")).alias("dst")), F.struct(order.alias("src"), F.col("next").alias("dst")))
+    return o.select(F.inline(ways)).where("dst is not null")
 
 
-@query("diamonds", "WITH " + _WIDE + ", u AS (SELECT src, dst FROM wide UNION SELECT dst, src FROM wide), x AS (SELECT p.src AS a, p.dst AS b, q.dst AS d FROM wide p JOIN wide q ON p.dst = q.src WHERE p.src <> q.dst) SELECT x.a, x.b, y.b AS c, x.d FROM x JOIN x y ON x.a = y.a AND x.d = y.d AND x.b < y.b WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.src = x.b AND u.dst = y.b)")
+@query("diamonds", "WITH {graph}, " + _FANS + ", u AS (SELECT src, dst FROM fans UNION SELECT dst, src FROM fans), x AS (SELECT p.src AS a, p.dst AS b, q.dst AS d FROM fans p JOIN fans q ON p.dst = q.src WHERE p.src <> q.dst) SELECT x.a, x.b, y.b AS c, x.d FROM x JOIN x y ON x.a = y.a AND x.d = y.d AND x.b < y.b WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.src = x.b AND u.dst = y.b)")
 def _(s, d):
-    return G.diamonds(_wide(s, d))
+    return G.diamonds(_fans(s, d))
 
 
 _ENDS = "single AS (SELECT node FROM (SELECT src AS node, 0 AS i, 1 AS o FROM sh UNION ALL SELECT dst, 1, 0 FROM sh) GROUP BY node HAVING sum(i) = 1 AND sum(o) = 1), ends AS (SELECT node, p.src AS pred, n.dst AS succ FROM single JOIN sh p ON p.dst = node JOIN sh n ON n.src = node)"
@@ -92,7 +102,7 @@ def _(s, d):
     return G.split_branches(graph(s, d), 2)
 
 
-@query("linear_paths", "WITH RECURSIVE {graph}, one AS (SELECT src, min(dst) AS dst FROM graph GROUP BY src HAVING count(*) = 1), p AS (SELECT src AS node, dst AS at_, 1 AS steps FROM one UNION ALL SELECT node, one.dst, steps + 1 FROM p JOIN one ON one.src = at_ WHERE steps < 16) SELECT node, arg_max(at_, steps) AS end_node, CAST(max(steps) AS BIGINT) AS steps FROM p GROUP BY node")
+@query("linear_paths", "WITH RECURSIVE {graph}, one AS (SELECT src, min(dst) AS dst FROM graph GROUP BY src HAVING count(*) = 1), p AS (SELECT src AS node, dst AS at_, 1 AS steps FROM one UNION ALL SELECT node, one.dst, steps + 1 FROM p JOIN one ON one.src = at_) SELECT node, arg_max(at_, steps) AS end_node, CAST(max(steps) AS BIGINT) AS steps FROM p GROUP BY node")
 def _(s, d):
     return G.follow_single(graph(s, d), 4).withColumnRenamed("end", "end_node")
 
@@ -149,9 +159,10 @@ def _(s, d):
     return G.rescue_orphans(links(s, d), cl, p.select(F.col("p_partkey").alias("ctg"), (F.col("p_partkey") % 211).alias("sub")))
 
 
-@query("allele_filter", "WITH {links}, {alleles}, {contigs} SELECT a, b, sim FROM alleles JOIN contigs x ON a = x.ctg JOIN contigs y ON b = y.ctg WHERE (a, b) NOT IN (SELECT (src, dst) FROM (SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_quantity >= 45)) AND least(x.len, y.len) >= 50000 AND a % 11 <> b % 11")
+@query("allele_filter", "WITH {links}, {alleles}, {contigs} SELECT a, b, sim FROM alleles JOIN contigs x ON a = x.ctg JOIN contigs y ON b = y.ctg WHERE (a, b) NOT IN (SELECT (src, dst) FROM (SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R')) AND least(x.len, y.len) >= 50000 AND a % 11 <> b % 11")
 def _(s, d):
+    """Allele pairs of long contigs in different subgraphs that are not neighbours; returned lines stand for neighbours."""
     from linkloom.operators.links import with_ends, without_pairs
 
     x = with_ends(alleles(s, d), contigs(s, d), "len").where("least(len_a, len_b) >= 50000 and a % 11 <> b % 11").select("a", "b", "sim")
-    return without_pairs(x, _wide(s, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return without_pairs(x, table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.storage import stored
 from linkloom.operators import kernels as K
 from linkloom.operators.components import components
-from linkloom.plans.base import links, query, table, whole_graph
+from linkloom.plans.base import contigs, links, pairs, query, table, whole_graph
 
 
 def _inner(s, d):
@@ -105,19 +105,30 @@ def _(s, d):
     return K.grouped(_parted(s, d), "component", "src long, dst long", run)
 
 
-def _halves(g: pd.DataFrame) -> tuple[dict, dict]:
-    lengths = {int(x): 1000 + int(x) % 97 for x in sorted({*g.a, *g.b})}
-    half = {((a, "T" if (a + b) % 2 else "H"), (b, "H" if (a * b) % 2 else "T")): w for a, b, w in _triples(g)}
-    return lengths, half
-
-
 @query("fast_order")
 def _(s, d):
+    """Contigs of a linked component by merging rounds over their head and tail links."""
+    from linkloom.operators.aggregates import half_links
+
+    x = stored(half_links(pairs(s, d), contigs(s, d)), few=True)
+    size = contigs(s, d)
+    side = lambda k: size.select(F.col("ctg").alias(k), F.col("len").alias(f"l{k}"))
+    x = x.join(components(x), F.col("a") == F.col("node")).withColumnRenamed("component", "grp").join(side("a"), "a").join(side("b"), "b")
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = [(g.grp.iloc[0], k, j, c, o) for k, t in enumerate(K.fast_sort(*_halves(g))) for j, (c, o) in enumerate(t)]
+        lengths = {int(c): float(n) for c, n in [*zip(g.a, g.la), *zip(g.b, g.lb)]}
+        halves = {((int(a), h), (int(b), k)): float(n) for a, h, b, k, n in zip(g.a, g.a_half, g.b, g.b_half, g.n)}
+        rows = [(g.grp.iloc[0], k, j, c, o) for k, t in enumerate(K.merge_order(lengths, halves)) for j, (c, o) in enumerate(t)]
         return pd.DataFrame(rows, columns=["grp", "scaffold", "ord", "ctg", "orient"])
 
-    return K.grouped(_inner(s, d), "grp", "grp long, scaffold long, ord long, ctg long, orient string", run)
+    return K.grouped(x.select("grp", "a", "a_half", "la", "b", "b_half", "lb", "n"), "grp", "grp long, scaffold long, ord long, ctg long, orient string", run)
+
+
+@query("inflation_recommendation")
+def _(s, d):
+    from linkloom.operators.graph import inflation_search
+
+    return inflation_search(stored(links(s, d).where("links >= 3"), few=True), contigs(s, d), [1.5, 2.0, 3.0], 4, prune=0.01)
 
 
 @query("allele_cliques")
@@ -134,7 +145,9 @@ def _(s, d):
         best = K.best_matching(sorted(set(g.x)), sorted(set(g.y)), {(x, y): n for x, y, n in zip(g.x, g.y, g.n)})
         return pd.DataFrame([(g.grp.iloc[0], x, y) for x, y in best], columns=["grp", "x", "y"])
 
-    t = table(s, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("grp"), (F.col("l_suppkey") % 4).alias("x"), F.col("l_linenumber").cast("long").alias("y")).agg(F.count("*").alias("n"))
+    home = table(s, d, "supplier").select(F.col("s_suppkey").alias("x"), F.col("s_nationkey").cast("long").alias("grp"))
+    t = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("x"), F.trunc(F.col("l_shipdate"), "month").alias("m")).agg(F.count("*").alias("n"))
+    t = t.join(home, "x").select("grp", "x", (F.year("m") * 12 + F.month("m")).cast("long").alias("y"), "n")
     return K.grouped(t, "grp", "grp long, x long, y long", run)
 
 

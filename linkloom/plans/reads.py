@@ -61,15 +61,15 @@ def _(s, d):
     return A.sketch_pairs(x, k=17, w=17, least=0.5)
 
 
-@query("contig_fragments", "WITH {contigs}, b AS (SELECT DISTINCT l_partkey AS ctg, CAST(floor(l_quantity * 1000) AS BIGINT) AS at_ FROM lineitem WHERE l_quantity >= 45), st AS (SELECT ctg, len, CAST(1 AS BIGINT) AS s FROM contigs UNION SELECT ctg, len, at_ + 1 FROM b JOIN contigs USING (ctg) WHERE at_ >= 1 AND at_ < len), x AS (SELECT ctg, s, coalesce(lead(s) OVER (PARTITION BY ctg ORDER BY s) - 1, len) AS e, count(*) OVER (PARTITION BY ctg) AS n FROM st) SELECT ctg, CASE WHEN n = 1 THEN CAST(ctg AS VARCHAR) ELSE ctg || ':' || s || '-' || e END AS fragment, s, e FROM x")
+@query("contig_fragments", "WITH {contigs}, b AS (SELECT DISTINCT l_partkey AS ctg, CAST(floor(l_quantity * 1000) AS BIGINT) AS at_ FROM lineitem), st AS (SELECT ctg, len, CAST(1 AS BIGINT) AS s FROM contigs UNION SELECT ctg, len, at_ + 1 FROM b JOIN contigs USING (ctg) WHERE at_ >= 1 AND at_ < len), x AS (SELECT ctg, s, coalesce(lead(s) OVER (PARTITION BY ctg ORDER BY s) - 1, len) AS e, count(*) OVER (PARTITION BY ctg) AS n FROM st) SELECT ctg, CASE WHEN n = 1 THEN CAST(ctg AS VARCHAR) ELSE ctg || ':' || s || '-' || e END AS fragment, s, e FROM x")
 def _(s, d):
-    b = table(s, d, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("ctg"), F.floor(F.col("l_quantity") * 1000).alias("at")).distinct()
+    b = table(s, d, "lineitem").select(F.col("l_partkey").alias("ctg"), F.floor(F.col("l_quantity") * 1000).alias("at")).distinct()
     return B.fragments(contigs(s, d), b)
 
 
-@query("reads_to_fragments", "WITH {contigs}, b AS (SELECT DISTINCT l_partkey AS ctg, CAST(floor(l_quantity * 1000) AS BIGINT) AS at_ FROM lineitem WHERE l_quantity >= 45), st AS (SELECT ctg, CAST(1 AS BIGINT) AS s FROM contigs UNION SELECT ctg, at_ + 1 FROM b JOIN contigs USING (ctg) WHERE at_ >= 1 AND at_ < len), p AS (SELECT l_partkey AS ctg, CAST(floor(l_extendedprice) AS BIGINT) AS pos, l_orderkey AS read FROM lineitem) SELECT p.ctg, pos, read, pos - s + 1 AS fpos FROM p ASOF JOIN st ON p.ctg = st.ctg AND p.pos >= st.s")
+@query("reads_to_fragments", "WITH {contigs}, b AS (SELECT DISTINCT l_partkey AS ctg, CAST(floor(l_quantity * 1000) AS BIGINT) AS at_ FROM lineitem), st AS (SELECT ctg, CAST(1 AS BIGINT) AS s FROM contigs UNION SELECT ctg, at_ + 1 FROM b JOIN contigs USING (ctg) WHERE at_ >= 1 AND at_ < len), p AS (SELECT l_partkey AS ctg, CAST(floor(l_extendedprice) AS BIGINT) AS pos, l_orderkey AS read FROM lineitem) SELECT p.ctg, pos, read, pos - s + 1 AS fpos FROM p ASOF JOIN st ON p.ctg = st.ctg AND p.pos >= st.s")
 def _(s, d):
-    b = table(s, d, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("ctg"), F.floor(F.col("l_quantity") * 1000).alias("at")).distinct()
+    b = table(s, d, "lineitem").select(F.col("l_partkey").alias("ctg"), F.floor(F.col("l_quantity") * 1000).alias("at")).distinct()
     p = table(s, d, "lineitem").select(F.col("l_partkey").alias("ctg"), F.floor("l_extendedprice").alias("pos"), F.col("l_orderkey").alias("read"))
     return B.to_fragments(p, B.fragments(contigs(s, d), b)).select("ctg", "pos", "read", "fpos")
 
@@ -179,11 +179,9 @@ def _(s, d):
     return table(s, d, "supplier").groupBy(F.split_part("s_name", F.lit("#"), F.lit(1)).alias("prefix")).agg(F.count("*").alias("n"))
 
 
-@query("interval_overlap_set", "WITH {spans} SELECT DISTINCT x.ctg, greatest(x.s, y.s) AS s, least(x.e, y.e) AS e FROM spans x JOIN spans y ON x.ctg = y.ctg AND x.s <= y.e AND y.s <= x.e WHERE x.e - x.s >= 7 AND y.e - y.s <= 1")
+@query("interval_overlap_set", "WITH t AS (SELECT l_partkey AS ctg, l_linestatus AS track, unnest(range(CAST(l_quantity AS BIGINT), CAST(l_quantity AS BIGINT) + l_linenumber + 1)) AS p FROM lineitem), common AS (SELECT ctg, p FROM t GROUP BY ALL HAVING count(DISTINCT track) = 2), i AS (SELECT ctg, p, p - row_number() OVER (PARTITION BY ctg ORDER BY p) AS g FROM common) SELECT ctg, min(p) AS s, max(p) AS e FROM i GROUP BY ctg, g")
 def _(s, d):
-    from linkloom.operators.joins import in_intervals  # noqa: F401
-    from linkloom.plans.base import spans
+    from linkloom.operators.windows import intersection
 
-    x = spans(s, d).where("e - s >= 7").select("ctg", F.col("s").alias("s1"), F.col("e").alias("e1"))
-    y = spans(s, d).where("e - s <= 1").select("ctg", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return x.join(y, "ctg").where("s1 <= e2 and s2 <= e1").select("ctg", F.greatest("s1", "s2").alias("s"), F.least("e1", "e2").alias("e")).distinct()
+    x = table(s, d, "lineitem").select(F.col("l_partkey").alias("ctg"), "l_linestatus", F.col("l_quantity").cast("long").alias("s"), (F.col("l_quantity").cast("long") + F.col("l_linenumber")).alias("e"))
+    return intersection(x.where("l_linestatus = 'F'"), x.where("l_linestatus = 'O'"), ["ctg"], "s", "e")

@@ -180,3 +180,64 @@ def log_metric(spark: SparkSession, path: str, pattern: str, kind: str = "double
     """(value): the first group of a pattern, wherever a log line matches it."""
     found: Column = F.regexp_extract("value", pattern, 1)
     return spark.read.text(path).where(F.col("value").rlike(pattern)).select(found.cast(kind).alias("value"))
+
+
+def mnd(spark: SparkSession, path: str) -> DataFrame:
+    """(strand1, c1, pos1, frag1, strand2, c2, pos2, frag2) of a merged-no-duplicates list; further fields are left out."""
+    p = F.split(F.trim("value"), r"\s+")
+    kinds = ("strand1 int", "c1 string", "pos1 long", "frag1 long", "strand2 int", "c2 string", "pos2 long", "frag2 long")
+    return spark.read.text(path).where(F.trim("value") != "").select(*(F.get(p, F.lit(k)).try_cast(x.split()[1]).alias(x.split()[0]) for k, x in enumerate(kinds)))
+
+
+def within_source(rows: DataFrame) -> DataFrame:
+    """Rows whose two contigs come from one source (the name before the first `_`), with it."""
+    of = lambda c: F.split_part(c, F.lit("_"), F.lit(1))
+    return rows.where(of("c1") == of("c2")).withColumn("source", of("c1"))
+
+
+def truth(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, ord, ctg, orient): `>chromosome` lines, each with the lines `contig orientation` that follow it."""
+    rec = spark.read.option("lineSep", "\n>").text(path).select(F.split(F.regexp_replace("value", "^>", ""), "\n").alias("x"))
+    rows = rec.select(F.regexp_extract(F.col("x")[0], r"^(\S+)", 1).alias("chrom"), F.posexplode(F.filter(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), lambda v: F.trim(v) != "")).alias("k", "v"))
+    p = F.split(F.trim("v"), r"\s+")
+    return rows.select("chrom", (F.col("k") + 1).alias("ord"), p[0].alias("ctg"), F.get(p, F.lit(1)).alias("orient"))
+
+
+def allele_info(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, bases, ploidy) of lines `name chromosome place reference-base base...`; the first line of the file is a header."""
+    p = F.split(F.trim("value"), r"\s+")
+    lines = numbered_lines(spark, path).where((F.col("line") > 1) & (F.trim("value") != ""))
+    bases = F.slice(p, 4, F.greatest(F.size(p) - 3, F.lit(0)))
+    return lines.select(p[1].alias("chrom"), p[2].cast("long").alias("pos"), bases.alias("bases"), (F.size(bases) - 1).alias("ploidy"))
+
+
+def lachesis_order(spark: SparkSession, path: str) -> DataFrame:
+    """(grp, ord, ctg, orient) of ordering files, named after their group: local id, contig, 0 for forwards or 1, ..."""
+    p = F.split(F.trim("value"), r"\s+")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("grp"), F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")).alias("lines"))
+    rows = raw.select("grp", F.posexplode("lines").alias("k", "value"))
+    return rows.select("grp", (F.col("k") + 1).alias("ord"), p[1].alias("ctg"), F.when(p[2] == "0", "+").otherwise("-").alias("orient"))
+
+
+def agp_tour(rows: DataFrame) -> DataFrame:
+    """(grp, ord, ctg, orient) of the component rows of an AGP table."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("scaffold").orderBy("part")
+    return rows.where("kind = 'W'").select(F.col("scaffold").alias("grp"), F.row_number().over(w).alias("ord"), F.col("component").alias("ctg"), "orient")
+
+
+def numbered_breaks(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(ctg, breaks): places at which contigs were broken into pieces `contig_number`, from the pieces' lengths in an AGP table.
+
+    contigs: the names before breaking. A contig with no piece has no breaks.
+    """
+    from pyspark.sql import Window
+
+    raw = contigs.select("ctg").distinct()
+    used = rows.where("kind = 'W'").join(raw.withColumnRenamed("ctg", "component"), "component", "left_anti")
+    pieces = used.select(F.regexp_extract("component", r"^(.*)_(\d+)$", 1).alias("ctg"), F.regexp_extract("component", r"^(.*)_(\d+)$", 2).try_cast("int").alias("n"), F.col("cend").alias("len")).distinct()
+    w = Window.partitionBy("ctg").orderBy("n")
+    at = pieces.select("ctg", "n", F.sum("len").over(w).alias("at"), F.lead("n").over(w).alias("next")).where("next is not null")
+    lists = at.groupBy("ctg").agg(F.sort_array(F.collect_list("at")).alias("breaks"))  # of one contig
+    return raw.join(lists, "ctg", "left").select("ctg", F.coalesce("breaks", F.array().cast("array<bigint>")).alias("breaks"))

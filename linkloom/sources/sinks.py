@@ -86,3 +86,28 @@ def gfa(segments: DataFrame, edges: DataFrame, path: str) -> None:
     s = segments.select(_tab(F.lit("S"), "ctg", F.lit("*"), F.concat(F.lit("LN:i:"), F.col("len").cast("string")), F.concat(F.lit("rd:i:"), F.col("depth").cast("string"))).alias("value"))
     e = edges.select(_tab(F.lit("L"), "src", "src_strand", "dst", "dst_strand", F.concat(F.col("overlap").cast("string"), F.lit("M"))).alias("value"))
     s.union(e).write.text(path)
+
+
+def truth(rows: DataFrame, path: str) -> None:
+    """`>chromosome` and a line `contig orientation` for each row (chrom, ord, ctg, orient), a chromosome in one piece."""
+    g = rows.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("ord", F.concat_ws(" ", F.col("ctg").cast("string"), "orient").alias("t")))).alias("x"))
+    g.select(F.concat_ws("\n", F.concat(F.lit(">"), F.col("chrom").cast("string")), F.array_join(F.transform("x", lambda v: v["t"]), "\n"))).write.text(path)
+
+
+def delta(runs: DataFrame, path: str, ref_file: str = "ref.fa", query_file: str = "query.fa") -> None:
+    """Collinear runs (ref, rs, re, query, qs, qe, orient, ref_len, query_len) as an alignment delta without differences.
+
+    Of a run on the other strand the query's places stand from high to low. The header is a file of its own, before the rest.
+    """
+    reverse = F.col("orient") == "-"
+    ends = F.concat_ws(" ", "rs", "re", F.when(reverse, F.col("qe")).otherwise(F.col("qs")), F.when(reverse, F.col("qs")).otherwise(F.col("qe")), F.lit("0 0 0"))
+    body = runs.select(F.concat_ws("\n", F.concat(F.lit(">"), F.concat_ws(" ", "ref", "query", "ref_len", "query_len")), ends, F.lit("0")))
+    head = runs.sparkSession.createDataFrame([(f"{ref_file} {query_file}\nNUCMER",)], "value string").coalesce(1)
+    head.write.text(path)
+    body.write.mode("append").text(path)
+
+
+def haplotype_tag(density: DataFrame) -> DataFrame:
+    """(tag, density, nhap): rows of a link density table (tag, ctg, density) with how many haplotypes the contig's name lists."""
+    listed = F.length(F.split_part("ctg", F.lit("_"), F.lit(2)))
+    return density.select("tag", "density", F.concat(F.lit("nhap"), listed.cast("string")).alias("nhap"))
