@@ -199,10 +199,17 @@ def _(s, d):
 
 @query("long_read_paths")
 def _(s, d):
+    """A customer's orders stand for a long read's contig ends; the lines of the later one support the step to it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    steps = table(s, d, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("b")).agg(F.count("*").cast("double").alias("links"))
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(g.grp.iloc[0], k, j, x) for k, p in enumerate(K.path_graph(_weights(g), 1, 3)) for j, x in enumerate(p)], columns=["grp", "path", "ord", "half"])
+        return pd.DataFrame([(g.grp.iloc[0], k, j, x) for k, p in enumerate(K.path_graph(_weights(g), 2, 3)) for j, x in enumerate(p)], columns=["grp", "path", "ord", "half"])
 
-    return K.grouped(_inner(s, d), "grp", "grp long, path long, ord long, half long", run)
+    return K.grouped(steps.join(lines, "b").select("grp", "a", "b", "links"), "grp", "grp long, path long, ord long, half long", run)
 
 
 @query("balanced_matrix")
