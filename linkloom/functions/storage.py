@@ -29,16 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base_dir(spark)}/linkloom-{uuid.uuid4().hex}"
 
 
+def _splits(df: DataFrame) -> int:
+    """Partitions of a plan without shuffles; 0 for others, whose number is only known when they run."""
+    plan = df._jdf.queryExecution()
+    return 0 if "Exchange" in plan.executedPlan().toString() else plan.toRdd().getNumPartitions()
+
+
 def stored(df: DataFrame, few: bool = False, narrow: bool = False) -> DataFrame:
     """df, computed once into a Parquet table in shared storage and read back: lineage is cut and lost executors do no harm.
 
     few: a small table, such as sums or edges, that needs no more files than the cluster has cores.
-    narrow: a few columns of every document, in at most four files a core.
+    narrow: a few columns of every document; of many input splits eight go to a file.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     cores = max(1, spark.sparkContext.defaultParallelism)
-    (df.coalesce(cores) if few else df.coalesce(4 * cores) if narrow else df).write.parquet(path)
+    if narrow:
+        splits = _splits(df)
+        df = df.coalesce(max(4 * cores, splits // 8)) if splits > 8 * cores else df
+    (df.coalesce(cores) if few else df).write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
