@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,27 +209,36 @@ class Block:
 
 
 def write_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
-    """The test items as block files in shared storage; the driver streams them and holds one block at a time."""
+    """The test items as block files in shared storage, built where the items are read; the driver gets their names."""
     out = shared_dir(benchmark.sparkSession)
-    fs, root = pafs.FileSystem.from_uri(out)
-    fs.create_dir(root, recursive=True)
-    files: list[str] = []
-
-    def flush(items: list[tuple[str, bytes]]) -> None:
-        with fs.open_output_stream(f"{root}/block-{len(files):06d}") as f:
-            f.write(pickle.dumps(Block(items, window)))
-        files.append(f"{out}/block-{len(files):06d}")
-
-    held, size = [], 0
-    for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).toLocalIterator():
-        held.append((r.i, r.t.encode()))
-        size += len(held[-1][1]) + 64
-        if size >= block_bytes:
-            flush(held)
-            held, size = [], 0
-    if held:
-        flush(held)
-    return files
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(out)
+        fs.create_dir(root, recursive=True)
+        task = TaskContext.get()
+        made = 0
+
+        def flush(items: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            name = f"block-{task.partitionId():06d}-{made:06d}"
+            draft = f"{root}/.{name}.{task.taskAttemptId()}"
+            with fs.open_output_stream(draft) as f:
+                f.write(pickle.dumps(Block(items, window)))
+            fs.move(draft, f"{root}/{name}")  # an attempt's file appears whole or not at all
+            return pa.RecordBatch.from_pydict({"file": [f"{out}/{name}"]})
+
+        held, size = [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
+                held.append((i, t))
+                size += len(t) + 64
+                if size >= block_bytes:
+                    yield flush(held)
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield flush(held)
+
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    return sorted(r.file for r in items.mapInArrow(lean(build), "file string").collect())  # a row per block
 
 
 def _block(uri: str) -> Block:

@@ -240,9 +240,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and joined spans: base ones by kind and hash, and all of them; n_added, n_secret of the method's spans."""
+    """Counts and joined spans: base ones by kind and hash, and all of them; n_added, n_secret of the method's spans; n_spans of all."""
     names = F.array(*map(F.lit, KINDS))
     joined = lambda a: F.array_join(F.transform(F.sort_array(a), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda spans, k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     counts = [of("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), of("added", 4).alias("n_secret"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), of("added", 4).alias("n_secret"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

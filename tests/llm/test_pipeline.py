@@ -5,6 +5,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkloom.llm import queries
@@ -96,3 +97,16 @@ def test_queries_take_messy_tables(spark, messy, tmp_path, name):
         spark.createDataFrame([(1, "the of and river stone light under harbour walks slowly when"), (None, None)], "item_id long, text string").where(keep).write.parquet(f"{d}/benchmark.parquet")
         spark.createDataFrame([(1, "https://a.example.org/", '<html lang="en"><body><p>the of and river stone</p></body></html>'), (2, None, None), (None, "x", "<p>no end")], "page_id long, url string, html string").where(keep).write.parquet(f"{d}/pages.parquet")
         assert queries.QUERIES[name](spark, str(d)).count() == (messy.count() if keep == "true" else 0)
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_keep_columns_named_like_their_own(spark, at):
+    """Extra columns may have the names that operators give to what they add."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    names = ["__linkloom_row", "k", "c0", "_text", "language", "host", "part", "frame", "bin", "pattern", "own", "kept", "fp", "component", "sources", "taken", "words", "head", "h", "bucket", "bits", "held", "gone_id"]
+    clash = docs.select("*", *(F.lit(7).alias(n) for n in names))
+    stage = corpus_pipeline.STAGES[at][1]
+    got, want = stage(spark, clash, SF), stage(spark, docs, SF)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in want.collect())
+    if at < len(corpus_pipeline.STAGES) - 1:
+        assert got.columns == clash.columns and got.select(names).distinct().count() == 1
