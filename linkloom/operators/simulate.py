@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def draw(seed: int, *by) -> Column:
-    """A number in [0, 1) for each combination of these columns."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 11).cast("double")) / float(1 << 53)
+    """A number in [0, 1) for each combination of these columns: the first 13 hex digits of their MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in by))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def haplotypes(seqs: DataFrame, n: int, substitution: float, deletion: float, insertion: float, seed: int = 1) -> DataFrame:
@@ -66,7 +67,7 @@ def clustering_errors(clusters: DataFrame, groups: int, wrong: float, lost: floa
 
 def sample_exact(df: DataFrame, keys: list[str], n: int, seed: int = 7) -> DataFrame:
     """Exactly n rows (or all, if fewer), those with the smallest draws."""
-    return df.withColumn("_u", F.xxhash64(F.lit(seed), *keys)).orderBy("_u", *keys).limit(n).drop("_u")
+    return df.withColumn("_u", draw(seed, *keys)).orderBy("_u", *keys).limit(n).drop("_u")
 
 
 def shuffle_split(df: DataFrame, keys: list[str], parts: int, seed: int = 8) -> DataFrame:

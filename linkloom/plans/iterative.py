@@ -83,7 +83,7 @@ def _parted(s, d):
     return x.join(components(x, "src", "dst"), F.col("src") == F.col("node")).select("component", "src", "dst")
 
 
-@query("strong_components")
+@query("strong_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT a.src AS node, min(a.dst) AS least FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, coalesce(least(node, m.least), node) AS component FROM n LEFT JOIN m USING (node)")
 def _(s, d):
     return K.grouped(_parted(s, d), "component", "node long, component long", lambda g: pd.DataFrame(sorted(K.strong_components(list(zip(g.src, g.dst))).items()), columns=["node", "component"]))
 

@@ -80,7 +80,7 @@ def _(s, d):
     return table(s, d, "nation").select(B.compose_name(n).alias("name"))
 
 
-@query("gap_filling")
+@query("gap_filling", "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), m AS (SELECT a.src, b.dst, count(*) AS n, min(a.dst) AS mid FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = a.src AND z.dst = b.dst) GROUP BY ALL), w AS (SELECT src || '>' || dst AS scaffold, n, CASE WHEN n = 1 THEN [src, mid, dst] ELSE [src, dst] END AS way FROM m), x AS (SELECT scaffold, n, unnest(way) AS ctg, unnest(range(1, len(way) + 1)) AS part FROM w) SELECT scaffold, CAST(part AS INTEGER) AS part, ctg, n = 1 AND part = 2 AS filled FROM x")
 def _(s, d):
     from linkloom.functions.storage import stored
     from linkloom.operators.graph import reach
@@ -88,7 +88,7 @@ def _(s, d):
     edges = stored(whole_graph(s, d), few=True)
     far = reach(edges, 2).where("level = 2")
     w = Window.partitionBy("scaffold").orderBy("k")
-    lay = far.select(F.xxhash64("src", "dst").alias("scaffold"), F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("src").alias("ctg")), F.struct(F.lit(2).alias("k"), F.col("dst").alias("ctg")))).alias("x")).select("scaffold", "x.k", "x.ctg")
+    lay = far.select(F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("scaffold"), F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("src").alias("ctg")), F.struct(F.lit(2).alias("k"), F.col("dst").alias("ctg")))).alias("x")).select("scaffold", "x.k", "x.ctg")
     return B.fill_gaps(lay.select("scaffold", F.row_number().over(w).alias("part"), "ctg"), edges, 2)
 
 
@@ -115,41 +115,51 @@ def _(s, d):
     return E.kmer_bin_source(c).withColumn("alpha", F.round("alpha", 6))
 
 
-@query("sim_haplotypes")
+def _draw(seed: int, *by: str) -> str:
+    """`simulate.draw` in SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(by)})), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE)"
+
+
+_LOST, _MOVED = 0.05, 0.05 + 0.1
+_SUB, _DEL, _INS = 0.05, 0.05 + 0.02, 0.05 + 0.02 + 0.02
+_SEQ = "ACGTACGTACGTACGT"
+
+
+@query("sim_haplotypes", f"WITH h AS (SELECT o_orderkey AS ctg, unnest([1, 2]) AS hap FROM orders) SELECT ctg, hap, array_to_string(list_transform(range(0, 16), lambda i: CASE WHEN {_draw(1, 'ctg', 'hap', 'i')} < {_SUB!r}::DOUBLE THEN substr('ACGT', CAST(floor({_draw(2, 'ctg', 'hap', 'i')} * 4) AS INTEGER) + 1, 1) WHEN {_draw(1, 'ctg', 'hap', 'i')} < {_DEL!r}::DOUBLE THEN '' WHEN {_draw(1, 'ctg', 'hap', 'i')} < {_INS!r}::DOUBLE THEN substr('{_SEQ}', i + 1, 1) || substr('ACGT', CAST(floor({_draw(2, 'ctg', 'hap', 'i')} * 4) AS INTEGER) + 1, 1) ELSE substr('{_SEQ}', i + 1, 1) END), '') AS seq FROM h")
 def _(s, d):
-    x = table(s, d, "orders").select(F.col("o_orderkey").alias("ctg"), F.lit("ACGTACGTACGTACGT").alias("seq"))
+    x = table(s, d, "orders").select(F.col("o_orderkey").alias("ctg"), F.lit(_SEQ).alias("seq"))
     return D.haplotypes(x, 2, 0.05, 0.02, 0.02)
 
 
-@query("sim_contigs")
+@query("sim_contigs", f"WITH {{contigs}}, k AS (SELECT ctg, len, unnest(range(1, CAST(ceil(len / 10000::DOUBLE) AS BIGINT) + 1)) AS k FROM contigs), c AS (SELECT ctg, least(len, CAST(trunc(10000 * (k - 0.5::DOUBLE + {_draw(2, 'ctg', 'k')})) AS BIGINT)) AS e FROM k UNION SELECT ctg, len FROM contigs), r AS (SELECT ctg, e, CAST(row_number() OVER w - 1 AS INTEGER) AS k, coalesce(lag(e) OVER w + 1, 1) AS s FROM c WINDOW w AS (PARTITION BY ctg ORDER BY e)) SELECT ctg, k + 1 AS piece, s, e, CASE WHEN {_draw(3, 'ctg', 'k')} < 0.5 THEN '+' ELSE '-' END AS orient FROM r WHERE e >= s")
 def _(s, d):
     return D.shred(contigs(s, d).select("ctg", "len"), 10_000)
 
 
-@query("sim_chimeras")
+@query("sim_chimeras", f"WITH {{contigs}}, u AS (SELECT ctg, {_draw(3, 'ctg')} AS u FROM contigs), n AS (SELECT ctg, (row_number() OVER (ORDER BY u, ctg) - 1) // 2 AS pair, u FROM u WHERE u < 0.1::DOUBLE) SELECT arg_min(ctg, u) AS left, arg_max(ctg, u) AS right FROM n GROUP BY pair HAVING count(*) = 2")
 def _(s, d):
     return D.chimeras(contigs(s, d), 0.1)
 
 
-@query("sim_collapsed")
+@query("sim_collapsed", f"WITH {{contigs}}, k AS (SELECT ctg, len, unnest(range(0, (len - 1) // 1000 + 1)) AS k FROM contigs), u AS (SELECT *, {_draw(4, 'ctg', 'k')} AS u FROM k) SELECT ctg, k * 1000 + 1 AS s, least((k + 1) * 1000, len) AS e, CAST(2 + floor(u / 0.1::DOUBLE * 3) AS INTEGER) AS copies FROM u WHERE u < 0.1::DOUBLE")
 def _(s, d):
     return D.collapsed_regions(contigs(s, d), 1000, 0.1)
 
 
-@query("sim_switches")
+@query("sim_switches", f"WITH x AS (SELECT DISTINCT l_suppkey AS chrom, l_partkey AS pos FROM lineitem), f AS (SELECT *, sum(CASE WHEN {_draw(5, 'chrom', 'pos')} < 0.01::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos) % 2 = 1 AS switched FROM x) SELECT chrom, pos, CASE WHEN switched THEN 'C' ELSE 'A' END AS hap1, CASE WHEN switched THEN 'A' ELSE 'C' END AS hap2, switched FROM f")
 def _(s, d):
     x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("chrom"), F.col("l_partkey").alias("pos")).distinct()
     return D.switch_errors(x.withColumns({"hap1": F.lit("A"), "hap2": F.lit("C")}), 0.01)
 
 
-@query("sim_cluster_errors")
+@query("sim_cluster_errors", f"WITH {{clusters}}, u AS (SELECT ctg, grp, {_draw(6, 'ctg')} AS u, {_draw(7, 'ctg')} AS v FROM clusters) SELECT ctg, CASE WHEN u < {_LOST!r}::DOUBLE THEN NULL WHEN u < {_MOVED!r}::DOUBLE THEN (grp + 1 + CAST(floor(v * 6) AS BIGINT)) % 7 ELSE grp END AS grp, CASE WHEN u < {_LOST!r}::DOUBLE THEN 'lost' WHEN u < {_MOVED!r}::DOUBLE THEN 'wrong' ELSE 'kept' END AS kind FROM u")
 def _(s, d):
     from linkloom.plans.base import clusters
 
     return D.clustering_errors(clusters(s, d), 7, 0.1, 0.05)
 
 
-@query("sample_exact")
+@query("sample_exact", f"SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY {_draw(7, 'l_orderkey', 'l_partkey', 'l_suppkey', 'l_extendedprice')}, l_orderkey, l_partkey, l_suppkey, l_extendedprice LIMIT 500")
 def _(s, d):
     return D.sample_exact(table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"), ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"], 500)
 
