@@ -52,7 +52,11 @@ def _(s, d):
     return K.grouped(_inner(s, d), "grp", _CLUSTER, lambda g: _labels(g, K.spectral(sorted({int(x) for x in [*g.a, *g.b]}), _weights(g), 4)))
 
 
-@query("increasing_runs")
+#: The heaviest increasing run by dynamic programming, one element of each customer's list a step, forwards and with the places negated.
+_RUNS = "g AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS v, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS w FROM orders GROUP BY o_custkey), s AS (SELECT o_custkey, '+' AS orient, v, w FROM g UNION ALL SELECT o_custkey, '-', list_transform(v, lambda x: -x), w FROM g), dp AS (SELECT o_custkey, orient, v, w, 1 AS i, [{'s': w[1], 'n': 1}] AS best FROM s UNION ALL SELECT o_custkey, orient, v, w, i + 1, list_append(best, {'s': w[i + 1] + coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: v[j] < v[i + 1]), lambda j: best[j].s)), 0), 'n': 1 + coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: v[j] < v[i + 1]), lambda j: best[j])).n, 0)}) FROM dp WHERE i < len(v))"
+
+
+@query("increasing_runs", "WITH RECURSIVE " + _RUNS + ", e AS (SELECT o_custkey, orient, list_max(best).s AS top, list_max(best).n AS kept, list_sum(w) AS total FROM dp WHERE i = len(v)) SELECT o_custkey, orient, CAST(kept AS BIGINT) AS kept, round(top / total, 6) AS share FROM e QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY top DESC, orient) = 1")
 def _(s, d):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["o_orderdate", "o_orderkey"])

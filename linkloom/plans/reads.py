@@ -97,7 +97,11 @@ def _(s, d):
     return E.dominant(table(s, d, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_nationkey").alias("chrom"), F.floor(F.abs("c_acctbal")).alias("len")), "grp", "chrom", "len")
 
 
-@query("scaffold_errors")
+#: The heaviest run of truth order among the components of a scaffold's main chromosome, both ways; p is the part of it in the right orientation.
+_TRUE_RUNS = "x AS (SELECT o_custkey AS scaffold, o_orderkey AS ord, o_orderkey % 3 AS chrom, CAST(floor(o_totalprice) AS BIGINT) AS len, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS part FROM orders), m AS (SELECT scaffold, chrom, sum(len) AS home FROM x GROUP BY scaffold, chrom QUALIFY row_number() OVER (PARTITION BY scaffold ORDER BY sum(len) DESC, chrom) = 1), t AS (SELECT scaffold, sum(len) AS total FROM x GROUP BY scaffold), g AS (SELECT scaffold, list(ord ORDER BY part) AS v, list(len ORDER BY part) AS w, list(ord % 2 = 0 ORDER BY part) AS plus FROM x JOIN m USING (scaffold, chrom) GROUP BY scaffold), s AS (SELECT scaffold, '+' AS side, v, w, list_transform(range(1, len(v) + 1), lambda k: CASE WHEN plus[k] THEN w[k] ELSE 0 END) AS r FROM g UNION ALL SELECT scaffold, '-', list_transform(v, lambda z: -z), w, list_transform(range(1, len(v) + 1), lambda k: CASE WHEN plus[k] THEN 0 ELSE w[k] END) FROM g), dp AS (SELECT scaffold, side, v, w, r, 1 AS i, [{'s': w[1], 'p': r[1]}] AS best FROM s UNION ALL SELECT scaffold, side, v, w, r, i + 1, list_append(best, {'s': w[i + 1] + coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: v[j] < v[i + 1]), lambda j: best[j].s)), 0), 'p': r[i + 1] + coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: v[j] < v[i + 1]), lambda j: best[j])).p, 0)}) FROM dp WHERE i < len(v)), e AS (SELECT scaffold, list_max(best).s AS top, list_max(best).p AS placed FROM dp WHERE i = len(v) QUALIFY row_number() OVER (PARTITION BY scaffold ORDER BY list_max(best).s DESC, side) = 1)"
+
+
+@query("scaffold_errors", "WITH RECURSIVE " + _TRUE_RUNS + " SELECT scaffold, chrom, CAST(total AS BIGINT) AS total, CAST(placed AS BIGINT) AS placed, CAST(total - home AS BIGINT) AS translocated, CAST(home - top AS BIGINT) AS relocated, CAST(top - placed AS BIGINT) AS inverted FROM e JOIN m USING (scaffold) JOIN t USING (scaffold)")
 def _(s, d):
     truth = table(s, d, "orders").select(F.col("o_orderkey").alias("ctg"), (F.col("o_orderkey") % 3).alias("chrom"), F.col("o_orderkey").alias("ord"), F.lit("+").alias("orient"))
     return E.scaffold_errors(layout(s, d), truth)
