@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from linkloom.llm._shared import stored
 
 WHITE, RISK, ERROR, LEVELS = " \t\n\x0b\x0c\r", 0.02, 0.05, 16
+#: Strata whose cutoffs are broadcast; with more of them both sides are dealt by stratum.
+MAX_STRATA = 100_000
 #: Metric: its cutoff at the mildest and at the strictest level, geometric in between.
 LADDER = {"symbols": (2.0, 0.02), "capitals": (0.75, 0.08), "word_length": (20.0, 6.0), "repeated_lines": (0.95, 0.2), "repeated_words": (0.2, 0.08)}
 
@@ -112,5 +114,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = stored(counted.withColumns({"base_failed": base_failed(), "level": failing_level()}), narrow=True)
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = proven_levels(counted.where("not base_failed").join(marks, "doc_id").select("stratum", "level", "quality"), risk, error)
-    rows = counted.join(chosen, "stratum", "left")
+    chosen = stored(chosen, few=True)  # a row per stratum; to where the counts lie while these are few, as a stratum may hold most rows
+    rows = counted.join(F.broadcast(chosen) if chosen.count() <= MAX_STRATA else chosen, "stratum", "left")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("chosen").isNull() | (F.col("level") > F.col("chosen"))))

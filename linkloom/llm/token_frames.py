@@ -37,7 +37,7 @@ from linkloom.llm._shared import lean, parts, small_batches, worker_keeps
 
 DIRECTORY_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Distinct words whose ids a Python worker remembers at most (some 100 MB).
-CACHE_WORDS = 450_000
+CACHE_WORDS = 400_000
 #: Marks that are split from an alphanumeric word before it is looked up; the models below split there too.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of Latin letters (below U+0240) alone, upper case among the non-ASCII ones too: they are their own normal form.
@@ -47,8 +47,8 @@ NOT_PLAIN = re.compile(b"\xc3\x97|\xc3\xb7|\xc4\xb0").finditer
 KINDS = bytes(0 if 97 <= b <= 122 else 4 if 48 <= b <= 57 else 2 if chr(b) in MARKS else 8 if 0x80 <= b < 0xC0 or 0xC3 <= b < 0xC9 else 1 for b in range(256))
 #: A-Z folded, ASCII white space as spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-#: Words that the model gets at once, and texts that are split at once.
-LOT, LOT_TEXTS = 4000, 512
+#: Words that the model gets at once, and bytes of texts that are split at once (or one text, if longer).
+LOT, LOT_BYTES = 4000, 2 << 20
 PROBE = "It's a'b x1. Y,\t2\n<|end é́ ́c, d.E\rf THE!? (q) 1.5 ..a"
 
 
@@ -195,9 +195,12 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (none null) with the end id appended, as little-endian bytes."""
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        lot = (np.cumsum(size) - size) // LOT_BYTES  # by where a text begins, so a lot has at most one text more than LOT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)] if len(texts) else []
         out: list[bytes] = []
-        for at in range(0, len(texts), LOT_TEXTS):
-            ids, ends = self.encode_lot(texts.slice(at, LOT_TEXTS))
+        for at, end in zip(cuts, cuts[1:]):
+            ids, ends = self.encode_lot(texts.slice(at, end - at))
             raw, ends = ids.tobytes(), (ends * self.width).tolist()
             out += map(raw.__getitem__, map(slice, ends, ends[1:]))
         return out

@@ -89,10 +89,13 @@ def test_memo_is_exact(plain, monkeypatch):
     coder = token_frames.WordEncoder(PATH, 2)
     assert coder.exact
     monkeypatch.setattr(token_frames, "CACHE_WORDS", 500)  # so that it is emptied often
+    monkeypatch.setattr(token_frames, "LOT_BYTES", 700)
     r = random.Random(5)
     parts = [*"abcZE'’stre19 .,!\t\n\r\x0b\x0c\x1c\x85é́ßΣσİ中文ﬁ<|>", "\xa0", "　", "'s", "the. ", "AND, ", "<|endoftext|>", "<|end", "x!? ", "Ünï "]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts[:3] = ["", "", "a long one " * 200]
     got = coder.encode(pa.array(texts))
+    assert coder.encode(pa.array([], pa.string())) == []
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids_of(plain, t) for t in texts]
 
 
