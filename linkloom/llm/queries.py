@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, langid, linededup, mixing, pii, quality, sharding, simhash, token_frames, toxicity
+from linkloom.llm import decontaminate, langid, linededup, mixing, pii, piece_rounds, quality, sharding, simhash, token_frames, toxicity
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -91,7 +91,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, **evidence).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "letters", F.col("language").isNotNull().alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op2_boosted_toxicity, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id)}
+def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_rounds.encode(documents(spark, sf_dir), path).select("doc_id", "ids")
+    back = piece_rounds.decode(ids, path)
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_frames, op2_boosted_toxicity, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id, op11_piece_rounds)}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
