@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, langid, linededup, mixing, pii, piece_rounds, quality, sharding, simhash, token_frames, toxicity
+from linkloom.llm import decontaminate, langid, linededup, mixing, pii, piece_rounds, quality, sharding, simhash, token_frames, toxicity, turn_repair
 from linkloom.llm._shared import documents, shared_dir
 
 
@@ -101,7 +101,14 @@ def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op2_boosted_toxicity, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id, op11_piece_rounds)}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turn_repair.digest(rows, copies=copies).select(
+        F.col("c").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_frames, op2_boosted_toxicity, op3_benchmark_spans, op4_simhash_groups, op5_contextual_pii, op6_bloom_lines, op7_risk_controlled_rules, op8_flow_mix, op9_byte_shards, op10_language_id, op11_piece_rounds, op12_turn_repair)}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
