@@ -111,21 +111,21 @@ def _(s, d):
 
 @query("fast_order")
 def _(s, d):
-    """Contigs of a linked component by merging rounds over their head and tail links."""
+    """Linked contigs in scaffolds by rounds of joins of their head and tail links."""
     from linkloom.operators.aggregates import half_links
+    from linkloom.operators.links import between
+    from linkloom.operators.ordering import merge_order
 
     x = stored(half_links(pairs(s, d), contigs(s, d)), few=True)
-    size = contigs(s, d)
-    side = lambda k: size.select(F.col("ctg").alias(k), F.col("len").alias(f"l{k}"))
-    x = x.join(components(x), F.col("a") == F.col("node")).withColumnRenamed("component", "grp").join(side("a"), "a").join(side("b"), "b")
+    held = x.select(F.col("a").alias("ctg")).union(x.select("b")).distinct()
+    return merge_order(contigs(s, d).join(held, "ctg", "left_semi"), between(x, held))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        lengths = {int(c): float(n) for c, n in [*zip(g.a, g.la), *zip(g.b, g.lb)]}
-        halves = {((int(a), h), (int(b), k)): float(n) for a, h, b, k, n in zip(g.a, g.a_half, g.b, g.b_half, g.n)}
-        rows = [(g.grp.iloc[0], k, j, c, o) for k, t in enumerate(K.merge_order(lengths, halves)) for j, (c, o) in enumerate(t)]
-        return pd.DataFrame(rows, columns=["grp", "scaffold", "ord", "ctg", "orient"])
 
-    return K.grouped(x.select("grp", "a", "a_half", "la", "b", "b_half", "lb", "n"), "grp", "grp long, scaffold long, ord long, ctg long, orient string", run)
+@query("spanning_forest")
+def _(s, d):
+    from linkloom.operators.ordering import spanning_forest
+
+    return spanning_forest(links(s, d))
 
 
 @query("inflation_recommendation")
