@@ -8,22 +8,16 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.storage import stored
+from linkloom.operators.components import contracted, kept, roots
 from linkloom.operators.windows import number_rows
 
 log = logging.getLogger(__name__)
 
 
-def _kept(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
-    """df stored, and how many of its rows there are (for which `what` holds), counted as they are written."""
-    seen = Observation()
-    table = stored(df.observe(seen, F.count(F.lit(1) if what is None else F.when(what, 1)).alias("n")), few=True)
-    return table, seen.get["n"]
-
-
 def spanning_forest(edges: DataFrame, weight: str = "links") -> DataFrame:
     """(a, b, weight) of the maximum spanning forest of an undirected edge table (a < b in it), ties to the smaller a, then b.
 
@@ -32,23 +26,15 @@ def spanning_forest(edges: DataFrame, weight: str = "links") -> DataFrame:
     chose the same edge; pointers that double lead each tree to its root. Edges inside a tree leave.
     """
     lower, upper = F.least("a", "b"), F.greatest("a", "b")
-    left, n = _kept(edges.where("a <> b").groupBy(lower.alias("a"), upper.alias("b")).agg(F.max(weight).alias("w")).select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
+    left, n = kept(edges.where("a <> b").groupBy(lower.alias("a"), upper.alias("b")).agg(F.max(weight).alias("w")).select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
     chosen = left.select("a", "b", "w").limit(0)
     while n:
         best = F.max(F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"), "other")).alias("e")
         sides = left.select(F.col("x").alias("tree"), F.col("y").alias("other"), "w", "a", "b").union(left.select("y", "x", "w", "a", "b"))
         taken = stored(sides.groupBy("tree").agg(best), few=True)
         chosen = chosen.union(taken.select((-F.col("e.na")).alias("a"), (-F.col("e.nb")).alias("b"), "e.w").distinct())
-        points = taken.select("tree", F.col("e.other").alias("to"))
-        onward = points.select(F.col("tree").alias("to"), F.col("to").alias("back"))
-        root = F.when((F.col("back") == F.col("tree")) & (F.col("tree") < F.col("to")), F.col("tree")).otherwise(F.col("to"))
-        to, moved = points.join(onward, "to").select("tree", root.alias("to")), 1
-        while moved:
-            onward = to.select(F.col("tree").alias("to"), F.col("to").alias("next"))
-            jumped, moved = _kept(to.join(onward, "to").select("tree", "next", "to"), F.col("next") != F.col("to"))
-            to = jumped.select("tree", F.col("next").alias("to"))
-        ends = left.join(to.select(F.col("tree").alias("x"), F.col("to").alias("cx")), "x").join(to.select(F.col("tree").alias("y"), F.col("to").alias("cy")), "y")
-        left, n = _kept(ends.where("cx <> cy").select("a", "b", "w", F.col("cx").alias("x"), F.col("cy").alias("y")))
+        to = roots(taken.select("tree", F.col("e.other").alias("to")))
+        left, n = kept(contracted(left, to, "a", "b", "w"))
     return chosen.withColumnRenamed("w", weight)
 
 
@@ -80,7 +66,7 @@ def _standing_out(links: DataFrame, layout: DataFrame, cutoff: float, reach: flo
     pair = two.where("i < j").join(back, ["i", "j"])
     other = F.greatest("next", "other")
     sure = F.when(other > 0, F.col("d") / other).otherwise(F.col("d") * 1e18)
-    return _kept(pair.select("i", "j", sure.alias("sure")).where(F.col("sure") > cutoff))
+    return kept(pair.select("i", "j", sure.alias("sure")).where(F.col("sure") > cutoff))
 
 
 def _walked(joins: DataFrame, n: int, scaffolds: DataFrame) -> tuple[DataFrame, int]:
@@ -97,7 +83,7 @@ def _walked(joins: DataFrame, n: int, scaffolds: DataFrame) -> tuple[DataFrame,
     while left and steps < most:
         on = state.select(F.col("enter").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("far").alias("far2"), F.col("least").alias("least2"))
         x = state.join(on, "to", "left")
-        state, left = _kept(x.select("enter", F.col("to2").alias("to"), F.coalesce("last2", "last").alias("last"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.least("least", "least2").alias("least")), open_)
+        state, left = kept(x.select("enter", F.col("to2").alias("to"), F.coalesce("last2", "last").alias("last"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.least("least", "least2").alias("least")), open_)
         steps *= 2
     return state, left
 
@@ -108,7 +94,7 @@ def _joined(layout: DataFrame, joins: DataFrame, n: int) -> tuple[DataFrame, int
     walk, rings = _walked(joins, n, scaffolds)
     if rings:
         cut = walk.where("to is not null").select((-F.col("least.ni")).alias("i"), (-F.col("least.nj")).alias("j")).distinct()
-        joins, n = _kept(joins.join(cut, ["i", "j"], "left_anti"))
+        joins, n = kept(joins.join(cut, ["i", "j"], "left_anti"))
         walk, _ = _walked(joins, n, scaffolds)
     # The walk that enters a scaffold at an end leaves the path at a tip: the other end of its last scaffold.
     tip = F.col("last").bitwiseXOR(F.lit(1).cast("long"))
@@ -141,7 +127,7 @@ def merge_order(contigs: DataFrame, links: DataFrame, cutoff: float = 1.0, reach
     if cutoff < 1:
         raise ValueError("a cutoff below one would join ends that are not each other's best")
     known = contigs.where("ctg is not null").groupBy("ctg").agg(F.max(F.coalesce("len", F.lit(0)).cast("double")).alias("len"))
-    layout, n = _kept(known.select("ctg", "len", F.col("ctg").alias("scaf"), F.lit(0.0).alias("at"), F.lit("+").alias("orient"), F.col("len").alias("total")))
+    layout, n = kept(known.select("ctg", "len", F.col("ctg").alias("scaf"), F.lit(0.0).alias("at"), F.lit("+").alias("orient"), F.col("len").alias("total")))
     links = stored(links.groupBy("a", "a_half", "b", "b_half").agg(F.sum("n").alias("n")), few=True)
     rounds = 0
     while n > 1:
