@@ -16,7 +16,8 @@ All counts cover all documents. Texts are read once; what moves are seeds and ca
 up by (pattern, instance) before any shuffle.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end exclusive; base
-spans always stay, an added span never overlaps one; of added spans that overlap the longer stays; words of any length
+spans always stay; seeded secrets are told apart from added spans, which only trusted patterns find; an added span never
+overlaps a base or seeded one, of those that overlap the longer stays; an empty table gives no rows; words of any length
 count whole; more than MAX_MARKS different marks part a word from the identifier; repeated rows are each searched;
 null ids stay null; without seeds nothing is added.
 """
@@ -213,12 +214,12 @@ def score_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence:
 
 
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a document's added spans that overlap, the longer ones (the first of equal ones)."""
+    """Of a document's found spans that overlap, the seeds, then the longer ones (the first of equal ones)."""
     for b in batches:
         out = []
         for spans in b.column(1).to_pylist():
             starts, kept = [], []
-            for x in sorted(spans, key=lambda x: (x["start"] - x["end"], x["start"])):
+            for x in sorted(spans, key=lambda x: (not x["seeded"], x["start"] - x["end"], x["start"])):
                 k = bisect_right(starts, x["start"])
                 if (k == 0 or kept[k - 1]["end"] <= x["start"]) and (k == len(kept) or x["end"] <= kept[k]["start"]):
                     starts.insert(k, x["start"])
@@ -228,21 +229,29 @@ def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:
-    """A row per document: doc_id, base and added spans (arrays of start, kind, end)."""
+    """A row per document: doc_id, and arrays of (start, kind, end): base spans, seeded ones (secrets assigned to a name, by form
+    alone), and added ones, which only trusted patterns found.
+    """
     found = stored(scan(docs, id_col, text_col), narrow=True)
     trusted = score_patterns(found, **scoring)
-    span = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
-    hits = found.select("row", F.explode("other").alias("x")).select("row", "x.start", "x.end", F.explode("x.contexts").alias("context")).join(trusted, "context")
-    best = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    added = best.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))  # of one document
-    added = added.mapInArrow(lean(_longest), added.schema)
-    return found.select("row", "doc_id", F.transform("base", span).alias("base")).join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("added"))
+    other = found.select("row", F.explode("other").alias("x")).select("row", "x.*")
+    seeds = other.where("seed is not null").select("row", "start", "end", F.col("seed").alias("kind"), F.lit(True).alias("seeded"))
+    hits = other.where("seed is null").select("row", "start", "end", F.explode("contexts").alias("context")).join(trusted, "context")
+    best = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind")).withColumn("seeded", F.lit(False))
+    more = seeds.union(best).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "seeded")).alias("more"))  # of one document
+    more = more.mapInArrow(lean(_longest), more.schema)
+    spans = lambda a, keep=None: F.transform(F.filter(a, keep) if keep else a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
+    parts_of = [F.coalesce(spans("more", keep), none).alias(name) for name, keep in (("seeded", lambda x: x["seeded"]), ("added", lambda x: ~x["seeded"]))]
+    return found.select("row", "doc_id", spans("base").alias("base")).join(more, "row", "left").select("doc_id", "base", *parts_of)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and joined spans: base ones by kind and hash, and all of them; n_added, n_secret of the method's spans; n_spans of all."""
+    """Counts and joined spans: base ones by kind and hash, and all of them; n_seeded, n_added of the method's spans; n_secret, n_spans of all."""
     names = F.array(*map(F.lit, KINDS))
     joined = lambda a: F.array_join(F.transform(F.sort_array(a), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda spans, k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     counts = [of("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), of("added", 4).alias("n_secret"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
+    every = F.concat("base", "seeded", "added")
+    more = [F.size("seeded").alias("n_seeded"), F.size("added").alias("n_added"), of(every, 4).alias("n_secret"), F.size(every).alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(every).alias("spans"), *(c.cast("long").alias(n) for c, n in zip(more, ("n_seeded", "n_added", "n_secret", "n_spans"))))

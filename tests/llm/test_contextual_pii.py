@@ -78,5 +78,98 @@ def test_secrets_by_their_names_and_places(spark):
     rows += [f"a commit {key()} of yesterday" for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {x.doc_id: x for x in pii.digest(pii.find_personal_data(docs)).collect()}
-    assert {d for d, x in got.items() if x.n_secret} == set(range(40)) and all(x.n_added == x.n_secret for x in got.values())
+    assert {d for d, x in got.items() if x.n_secret} == set(range(40)) and all(x.n_seeded == x.n_secret and x.n_added == 0 for x in got.values())
     assert got[0].spans == "secret:22:62" and got[0].n_email + got[0].n_ip + got[0].n_card + got[0].n_phone == 0
+
+
+def plain_scores(found):
+    """Confidence of each trusted (pattern, kind), by dictionaries."""
+    seed, failed, near = {}, {}, {}
+    for row in found:
+        for x in row.base:
+            for c in x.contexts:
+                near.setdefault(c, set()).add(x.instance)
+                seed.setdefault(c, {})[x.instance] = max(x.kind, seed.get(c, {}).get(x.instance, -1))
+        for x in row.other:
+            for c in x.contexts:
+                near.setdefault(c, set()).add(x.instance)
+                if x.seed is not None:
+                    seed.setdefault(c, {})[x.instance] = max(x.seed, seed.get(c, {}).get(x.instance, -1))
+                failed[c, x.instance] = failed.get((c, x.instance), False) or x.failed
+    known = {(i, k): 1.0 for c in seed for i, k in seed[c].items()}
+    belief = dict(known)
+    for _ in range(pii.ROUNDS):
+        kinds = {}
+        for (i, k), b in belief.items():
+            if b >= pii.MIN_CONFIDENCE:
+                kinds.setdefault(i, set()).add(k)
+        told = {}
+        for c, members in near.items():
+            for i in members:
+                for k in kinds.get(i, ()):
+                    told[c, k] = told.get((c, k), 0) + 1
+        trusted = {}
+        for (c, k), n in told.items():
+            if n < pii.MIN_SEEDS:
+                continue
+            good = sum(belief.get((i, k), 0.0 if failed.get((c, i)) or i in seed.get(c, {}) else pii.PRIOR) for i in near[c])
+            p, m, z = good / len(near[c]), len(near[c]), pii.SURE
+            trusted[c, k] = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+        doubt = {}
+        for (c, k), confidence in trusted.items():
+            for i in near[c]:
+                if i not in seed.get(c, {}) and not failed.get((c, i)):
+                    doubt[i, k] = doubt.get((i, k), 1.0) * (1 - min(max(confidence, 0.0), 0.99))
+        belief = {ik: 1 - d for ik, d in doubt.items()} | known
+    return {ck: x for ck, x in trusted.items() if x >= pii.MIN_CONFIDENCE}
+
+
+PLACES = {
+    "phone": ["reach me by phone at", "telefon", "call the desk on"],
+    "card": ["paid with card", "charge my card number", "kartennummer"],
+    "ip": ["served from host", "the gateway is", "log in at"],
+    "email": ["write to the mailbox", "contact", "schreiben an"],
+}
+
+
+def planted_copy(spark, seed=21, seeds=40, hidden=12):
+    """All of `documents`, some with a sentence put between two of their words: known identifiers, and ones no base form has."""
+    r = random.Random(seed)
+    docs = [(x.doc_id, x.text or "") for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    planted = {}
+    for kind, places in PLACES.items():
+        for place in places:
+            for k, at in enumerate(r.sample(range(len(docs)), seeds + hidden)):
+                what = known(kind, r) if k < seeds else unseen(kind, r)
+                doc, text = docs[at]
+                words = text.split(" ")
+                cut = r.randint(0, len(words))
+                head = " ".join(words[:cut])
+                said = f"{head} {place} {what} thanks"
+                start = len(said) - len(what) - len(" thanks")
+                if doc in planted:  # one a document, so that places stay as they are
+                    continue
+                docs[at] = (doc, f"{said} {' '.join(words[cut:])}")
+                planted[doc] = (kind, start, start + len(what), k >= seeds)
+    return docs, planted
+
+
+def test_unseen_identifiers_of_a_planted_copy_of_the_documents(spark):
+    docs, planted = planted_copy(spark)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    found = pii.find_personal_data(frame).collect()
+    hidden = {d: x for d, x in planted.items() if x[3]}
+    added = [(r.doc_id, pii.KINDS[x.kind], x.start, x.end) for r in found for x in r.added]
+    hit = {d for d, kind, start, end in added if d in hidden and kind == hidden[d][0] and hidden[d][1] <= start < hidden[d][1] + 4 and hidden[d][2] - 4 < end <= hidden[d][2]}
+    assert len(hidden) > 60 and len(hit) >= 0.9 * len(hidden), (len(hit), len(hidden))
+    right = sum(d in hidden and start < hidden[d][2] and end > hidden[d][1] for d, _, start, end in added)
+    assert right >= 0.9 * len(added), (right, len(added))
+
+
+def test_scores_against_plain_recomputation(spark):
+    docs, _ = planted_copy(spark, seed=5, seeds=12, hidden=6)
+    found = pii.stored(pii.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)))
+    got = {(r.context, r.kind): r.confidence for r in pii.score_patterns(found).collect()}
+    want = plain_scores(found.collect())
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
