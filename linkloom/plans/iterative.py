@@ -76,9 +76,24 @@ def _(s, d):
     return K.grouped(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_custkey long, rotation long, share double", run)
 
 
-@query("link_knee")
+#: Runs of rises of the distance below the chord, over distinct link counts.
+_KNEES = """WITH {links}, v AS (SELECT links AS value, count(*) AS n FROM links GROUP BY 1),
+w AS (SELECT sum(n) AS total, min(value) AS low, max(value) AS high FROM v),
+c AS (SELECT value, n, sum(n) OVER (ORDER BY value) AS fin FROM v),
+p AS (SELECT value, total, (fin - n) / (total - 1) - (value - low) / (high - low) AS f, (fin - 1) / (total - 1) - (value - low) / (high - low) AS t FROM c, w WHERE total > 2 AND high > low),
+q AS (SELECT *, CASE WHEN f - lag(t) OVER (ORDER BY value) < -1e-12 THEN 1 ELSE 0 END AS turn FROM p),
+r AS (SELECT *, sum(turn) OVER (ORDER BY value) AS run FROM q),
+e AS (SELECT run, arg_min(f, value) AS bottom, arg_max(t, value) AS top, max(value) AS value, any_value(total) AS total FROM r GROUP BY run),
+k AS (SELECT value, top FROM e WHERE run < (SELECT max(run) FROM e) AND (top - bottom) * (total - 1) > 1 + 1e-9)
+SELECT CAST((SELECT value FROM k ORDER BY top DESC, value LIMIT 1) AS BIGINT) AS knee, min(value) AS smallest, count(*) AS n_knees,
+round(median(value), 6) AS median, round(avg(value), 6) AS mean FROM k"""
+
+
+@query("link_knee", _KNEES)
 def _(s, d):
-    return K.grouped(_inner(s, d), "grp", "grp long, knee double", lambda g: pd.DataFrame({"grp": g.grp.iloc[:1], "knee": K.knee(g.links.tolist())}))
+    from linkloom.operators.knees import knee_summary
+
+    return knee_summary(links(s, d), "links").withColumn("median", F.round("median", 6)).withColumn("mean", F.round("mean", 6))
 
 
 def _parted(s, d):
@@ -89,7 +104,9 @@ def _parted(s, d):
 
 @query("strong_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT a.src AS node, min(a.dst) AS least FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, coalesce(least(node, m.least), node) AS component FROM n LEFT JOIN m USING (node)")
 def _(s, d):
-    return K.grouped(_parted(s, d), "component", "node long, component long", lambda g: pd.DataFrame(sorted(K.strong_components(list(zip(g.src, g.dst))).items()), columns=["node", "component"]))
+    from linkloom.operators.directed import strong_components
+
+    return strong_components(whole_graph(s, d))
 
 
 @query("acyclic_runs")
@@ -216,18 +233,27 @@ def _(s, d):
     return K.grouped(steps.join(lines, "b").select("grp", "a", "b", "links"), "grp", "grp long, path long, ord long, half long", run)
 
 
-@query("balanced_matrix")
-def _(s, d):
-    import numpy as np
+#: The rounds of `balanced` until rows sum to one; the state before the last check is the answer.
+_BALANCE = """WITH RECURSIVE {links}, n AS (SELECT a AS i FROM links UNION SELECT b FROM links),
+m AS (SELECT a AS i, b AS j, CAST(links AS DOUBLE) AS v FROM links UNION ALL SELECT b, a, links FROM links UNION ALL SELECT i, i, 1 FROM n),
+st AS (
+  SELECT 0 AS k, i, CAST(1 AS DOUBLE) AS s, CAST(1 AS DOUBLE) AS err FROM n
+  UNION ALL
+  SELECT k + 1, i, s / sqrt(r), max(abs(r - 1)) OVER () FROM (
+    SELECT x.k, m.i, x.s, x.s * sum(m.v * y.s) AS r FROM m JOIN st x ON x.i = m.i JOIN st y ON y.i = m.j WHERE x.err >= 1e-6 GROUP BY x.k, m.i, x.s)
+), f AS (SELECT i, s FROM st WHERE k = (SELECT max(k) - 1 FROM st))
+SELECT m.i, m.j, round(m.v * x.s * y.s, 6) AS v FROM m JOIN f x ON x.i = m.i JOIN f y ON y.i = m.j"""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.r_[g.a, g.b])
-        a, b, own = np.searchsorted(nodes, g.a), np.searchsorted(nodes, g.b), np.arange(len(nodes))
-        i, j = np.r_[a, b, own], np.r_[b, a, own]
-        x = K.balance_sparse(i, j, np.r_[g.links, g.links, np.ones(len(nodes))], len(nodes))
-        return pd.DataFrame({"grp": g.grp.iloc[0], "i": nodes[i], "j": nodes[j], "v": x.round(6)})
 
-    return K.grouped(_inner(s, d), "grp", "grp long, i long, j long, v double", run)
+@query("balanced_matrix", _BALANCE)
+def _(s, d):
+    """All links as a symmetric matrix with ones on its diagonal, scaled so that rows and columns sum to one."""
+    from linkloom.operators.balancing import balanced
+
+    x = stored(links(s, d).select("a", "b", F.col("links").cast("double").alias("v")), few=True)
+    one = x.select("a").union(x.select("b")).distinct().select(F.col("a").alias("i"), F.col("a").alias("j"), F.lit(1.0).alias("v"))
+    m = x.select(F.col("a").alias("i"), F.col("b").alias("j"), "v").union(x.select("b", "a", "v")).union(one)
+    return balanced(m).withColumn("v", F.round("v", 6))
 
 
 @query("anova_p")
