@@ -34,12 +34,16 @@ _CLUSTER = "grp long, ctg long, cluster long"
 
 @query("louvain_clusters")
 def _(s, d):
-    return K.grouped(_inner(s, d), "grp", _CLUSTER, lambda g: _labels(g, K.louvain(_triples(g))))
+    from linkloom.operators.communities import communities
+
+    return communities(links(s, d))
 
 
 @query("louvain_search")
 def _(s, d):
-    return K.grouped(_inner(s, d), "grp", _CLUSTER, lambda g: _labels(g, K.louvain_to_count(_triples(g), 4)[0]))
+    from linkloom.operators.communities import communities_to_count
+
+    return communities_to_count(stored(links(s, d), few=True), 4)
 
 
 @query("linkage_clusters")
