@@ -82,15 +82,20 @@ def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
     return sketches(seqs, k, w).select("ctg", F.explode("sketch").alias("h"))
 
 
-def sketch_pairs(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int = 60, least: float = 0.5) -> DataFrame:
-    """(a, b, sim): shared minimizers over the smaller sketch, for all pairs of at least `least` (above 0).
+def _classes(seqs: DataFrame, k: int, w: int) -> tuple[DataFrame, DataFrame]:
+    """(ctg, key) of every sequence with a sketch, and one row (key, sketch, size, cls, n) for each distinct sketch; cls is its smallest ctg."""
+    own = stored(sketches(seqs, k, w).withColumn("key", F.sha2(F.array_join(F.transform("sketch", lambda x: x.cast("string")), ","), 256)))
+    one = own.groupBy("key").agg(F.first("sketch").alias("sketch"), F.min("ctg").alias("cls"), F.count("*").alias("n"))
+    return own.select("ctg", "key"), stored(one.withColumn("size", F.size("sketch")))
+
+
+def _alike(one: DataFrame, max_holders: int, least: float) -> DataFrame:
+    """(x, y, sim): keys of distinct sketches of which the smaller shares at least `least` with the other.
 
-    Equal sketches count as one until the end. A pair that is alike shares one of the rarest minimizers of its smaller
-    sketch, so many that the others alone would fall short of `least`; only those are joined, then sketches are compared
-    whole. Minimizers that more than max_holders sketches have are dealt over several tasks.
+    Such a pair shares one of the rarest minimizers of its smaller sketch, so many that the others alone would fall short of
+    `least`; only those are joined, then sketches are compared whole. Minimizers that more than max_holders sketches have are
+    dealt over several tasks.
     """
-    own = stored(sketches(seqs, k, w).withColumn("key", F.sha2(F.array_join(F.transform("sketch", lambda x: x.cast("string")), ","), 256)))
-    one = stored(own.groupBy("key").agg(F.first("sketch").alias("sketch")).select("key", "sketch", F.size("sketch").alias("size")))
     m = one.select("key", "size", F.explode("sketch").alias("h"))
     held = m.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     tasks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(max_holders)).cast("int")
@@ -103,8 +108,30 @@ def sketch_pairs(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int = 6
     side = lambda c: one.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     both = near.join(side("x"), "x").join(side("y"), "y")
     sim = F.size(F.array_intersect("sketch_x", "sketch_y")) / F.least(F.size("sketch_x"), F.size("sketch_y"))
-    alike = both.select("x", "y", sim.alias("sim")).where(F.col("sim") >= least)
-    names = lambda key, c: own.select(F.col("key").alias(key), F.col("ctg").alias(c))
-    apart = alike.join(names("x", "l"), "x").join(names("y", "r"), "y").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "sim")
-    same = names("x", "a").join(names("x", "b"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
-    return apart.union(same)
+    return both.select("x", "y", sim.alias("sim")).where(F.col("sim") >= least)
+
+
+def sketch_pairs(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int = 60, least: float = 0.5) -> DataFrame:
+    """(a, b, sim): shared minimizers over the smaller sketch, at least `least` (above 0), between classes of equal sketches.
+
+    A class is named by its smallest ctg; `sketch_classes` tells the class of each sequence, so that copies aren't paired with one another.
+    """
+    _, one = _classes(seqs, k, w)
+    name = lambda key, c: one.select(F.col("key").alias(key), F.col("cls").alias(c))
+    apart = _alike(one, max_holders, least).join(name("x", "l"), "x").join(name("y", "r"), "y")
+    return apart.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "sim")
+
+
+def sketch_classes(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int = 60, least: float = 0.5) -> DataFrame:
+    """(ctg, cls, n_links) for every row of seqs: the class of equal sketches, and how many other rows are like it by at least `least`.
+
+    Rows without a sketch (null or short sequences) are classes of their own, without links; null names are one name.
+    """
+    own, one = _classes(seqs, k, w)
+    alike = stored(_alike(one, max_holders, least).select("x", "y"), few=True)
+    sized = one.select(F.col("key").alias("y"), "n")
+    beside = alike.union(alike.select("y", "x")).join(sized, "y").groupBy(F.col("x").alias("key")).agg(F.sum("n").alias("beside"))
+    each = one.select("key", "cls", "n").join(beside, "key", "left").select("key", "cls", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    placed = own.join(each, "key").select("ctg", "cls", "n_links")
+    bare = seqs.select("ctg").join(own.select(F.col("ctg").alias("held")), F.col("ctg").eqNullSafe(F.col("held")), "left_anti")
+    return placed.union(bare.select("ctg", F.col("ctg").alias("cls"), F.lit(0).cast("long").alias("n_links")))

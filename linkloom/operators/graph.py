@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.storage import stored
 
+log = logging.getLogger(__name__)
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Every edge in both directions, once."""
@@ -161,7 +165,7 @@ def mcl_step(m: DataFrame, inflation: float = 2.0, prune: float = 1e-4) -> DataF
     return columns_normalised(inflated.join(top, "j").where((F.col("v") >= prune) | (F.col("v") == F.col("top"))).select("i", "j", "v"))
 
 
-def markov_clusters(links: DataFrame, inflation: float = 2.0, prune: float = 1e-4, max_rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def markov_clusters(links: DataFrame, inflation: float = 2.0, prune: float = 1e-4, max_rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """(grp, ctg): Markov clustering; a cluster is named by its smallest attractor."""
     from linkloom.operators.components import components
 
@@ -173,6 +177,8 @@ def markov_clusters(links: DataFrame, inflation: float = 2.0, prune: float = 1e-
         m = new
         if change is None or change < tolerance:
             break
+    else:
+        log.warning("columns still change by %g after %d rounds", change, max_rounds)
     pull = m.where(F.col("v") > tolerance)
     label = components(pull.where("i <> j"), "i", "j")
     nodes = m.select(F.col("j").alias("node")).distinct()

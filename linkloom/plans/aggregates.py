@@ -137,7 +137,7 @@ def _(s, d):
     from linkloom.operators.links import group_links
 
     re = contigs(s, d).join(clusters(s, d), "ctg").groupBy("grp").agg((1 + F.sum(F.col("re_sites") - 1)).alias("re"))
-    g = group_links(links(s, d), clusters(s, d)).join(F.broadcast(re), "grp").withColumn("density", F.col("links") / F.col("re"))
+    g = group_links(links(s, d), clusters(s, d)).join(re, "grp").withColumn("density", F.col("links") / F.col("re"))
     all_of = Window.partitionBy("ctg")
     r = g.withColumn("k", F.row_number().over(all_of.orderBy(F.desc("density"), "grp"))).withColumn("total", F.sum("density").over(all_of)).withColumn("n", F.count("*").over(all_of)).where("k = 1")
     rest = F.col("total") - F.col("density")
@@ -151,7 +151,7 @@ def _(s, d):
 
     c = clusters(s, d)
     size = c.groupBy("grp").agg(F.count("*").alias("n"))
-    g = group_links(links(s, d), c).join(c.withColumnRenamed("grp", "own"), "ctg").where("own <> grp").join(F.broadcast(size), "grp")
+    g = group_links(links(s, d), c).join(c.withColumnRenamed("grp", "own"), "ctg").where("own <> grp").join(size, "grp")
     return g.select("ctg", "grp", F.round(F.col("links") / F.col("n"), 6).alias("mean"))
 
 

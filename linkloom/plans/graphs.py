@@ -119,16 +119,18 @@ def _(s, d):
 
 
 _THICK = "thick AS (SELECT a, b, links FROM links WHERE links >= 3)"
+_ALL = "thick AS (SELECT a, b, links FROM links)"
 _M = "adj AS (SELECT a AS i, b AS j, CAST(links AS DOUBLE) AS v FROM thick UNION ALL SELECT b, a, links FROM thick), m0 AS (SELECT * FROM adj UNION ALL SELECT DISTINCT i, i, 1.0 FROM adj), m AS (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM m0)"
 
 
 def _thick(s, d):
+    """Links of three or more lines, which Markov rounds multiply; the matrix itself and its attractors take all links."""
     return links(s, d).where("links >= 3")
 
 
-@query("adjacency", "WITH {links}, " + _THICK + ", " + _M + " SELECT i, j, v FROM m0")
+@query("adjacency", "WITH {links}, " + _ALL + ", " + _M + " SELECT i, j, v FROM m0")
 def _(s, d):
-    return G.adjacency(_thick(s, d))
+    return G.adjacency(links(s, d))
 
 
 @query("mcl_step", "WITH {links}, " + _THICK + ", " + _M + ", sq AS (SELECT x.i, y.j, power(sum(x.v * y.v), 2) AS v FROM m x JOIN m y ON x.j = y.i GROUP BY ALL), inf AS (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM sq), kept AS (SELECT * FROM inf QUALIFY v >= 0.01 OR v = max(v) OVER (PARTITION BY j)) SELECT i, j, round(v / sum(v) OVER (PARTITION BY j), 5) AS v FROM kept")
@@ -137,9 +139,9 @@ def _(s, d):
     return G.mcl_step(m, prune=0.01).select("i", "j", F.round("v", 5).alias("v"))
 
 
-@query("mcl_attractors", "WITH {links}, " + _THICK + ", " + _M + ", big AS (SELECT * FROM m WHERE v >= 0.2) SELECT i, count(*) AS n FROM big WHERE i IN (SELECT i FROM big WHERE i = j) GROUP BY i")
+@query("mcl_attractors", "WITH {links}, " + _ALL + ", " + _M + ", big AS (SELECT * FROM m WHERE v >= 0.02) SELECT i, count(*) AS n FROM big WHERE i IN (SELECT i FROM big WHERE i = j) GROUP BY i")
 def _(s, d):
-    return G.attractors(G.columns_normalised(G.adjacency(_thick(s, d))).where("v >= 0.2"))
+    return G.attractors(G.columns_normalised(G.adjacency(links(s, d))).where("v >= 0.02"))
 
 
 @query("mcl_clusters")

@@ -56,9 +56,9 @@ def _(s, d):
 
 @query("sketch_similarity")
 def _(s, d):
-    """Stands in for an external sketching tool: pairs of documents that share minimizers of letters."""
+    """Stands in for an external sketching tool: classes of documents with equal minimizers of letters, and how many others share half of them."""
     x = table(s, d, "documents").select(F.col("doc_id").alias("ctg"), F.regexp_replace("text", r"\s+", " ").alias("seq"))
-    return A.sketch_pairs(x, k=17, w=17, least=0.5)
+    return A.sketch_classes(x, k=17, w=17, least=0.5)
 
 
 @query("contig_fragments", "WITH {contigs}, b AS (SELECT DISTINCT l_partkey AS ctg, CAST(floor(l_quantity * 1000) AS BIGINT) AS at_ FROM lineitem), st AS (SELECT ctg, len, CAST(1 AS BIGINT) AS s FROM contigs UNION SELECT ctg, len, at_ + 1 FROM b JOIN contigs USING (ctg) WHERE at_ >= 1 AND at_ < len), x AS (SELECT ctg, s, coalesce(lead(s) OVER (PARTITION BY ctg ORDER BY s) - 1, len) AS e, count(*) OVER (PARTITION BY ctg) AS n FROM st) SELECT ctg, CASE WHEN n = 1 THEN CAST(ctg AS VARCHAR) ELSE ctg || ':' || s || '-' || e END AS fragment, s, e FROM x")

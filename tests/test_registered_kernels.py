@@ -240,3 +240,21 @@ def test_markov_clusters_are_joined_by_links(run, links):
         near[a].add(b)
         near[b].add(a)
     assert all(any(got[y] == g for y in near[x]) for x, g in got.items() if (got == g).sum() > 1)
+
+
+def test_sketch_similarity_of_whole_documents(spark, run):
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import alignments as A
+    from linkloom.plans.base import table
+
+    x = table(spark, SF, "documents").select(F.col("doc_id").alias("ctg"), F.regexp_replace("text", r"\s+", " ").alias("seq"))
+    held = {r.ctg: frozenset(r.sketch) for r in A.sketches(x, 17, 17).collect()}
+    got = run("sketch_similarity").set_index("ctg")
+    assert sorted(got.index) == sorted(read("documents", "doc_id").doc_id)
+    for c, cls, n in got.itertuples():
+        if c not in held:
+            assert (cls, n) == (c, 0)
+            continue
+        near = [o for o, s in held.items() if o != c and len(s & held[c]) >= 0.5 * min(len(s), len(held[c]))]
+        assert n == len(near) and cls == min(o for o, s in held.items() if s == held[c])

@@ -68,5 +68,8 @@ def test_sketches_find_shared_sequences(spark):
     base = "".join(r.choice("ACGT") for _ in range(600))
     rc = base[::-1].translate(str.maketrans("ACGT", "TGCA"))
     rows = [("x", base), ("y", rc), ("z", "".join(r.choice("ACGT") for _ in range(600))), ("w", base[:400] + "".join(r.choice("ACGT") for _ in range(200))), ("e", "")]
-    got = {(p.a, p.b): p.sim for p in alignments.sketch_pairs(spark.createDataFrame(rows, "ctg string, seq string"), least=0.3).collect()}
-    assert got[("x", "y")] > 0.95 and ("x", "z") not in got and 0.3 < got[("w", "x")] < 0.95
+    df = spark.createDataFrame(rows, "ctg string, seq string")
+    got = {(p.a, p.b): p.sim for p in alignments.sketch_pairs(df, least=0.3).collect()}
+    cls = {p.ctg: (p.cls, p.n_links) for p in alignments.sketch_classes(df, least=0.3).collect()}
+    assert cls["x"] == cls["y"] == ("x", 2) and cls["w"] == ("w", 2) and cls["z"] == ("z", 0) and cls["e"] == ("e", 0)
+    assert set(got) == {("w", "x")} and 0.3 < got[("w", "x")] < 0.95

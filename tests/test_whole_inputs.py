@@ -87,6 +87,18 @@ def test_sketch_pairs_of_many_holders(spark):
         held.setdefault(x.ctg, set()).add(x.h)
     share = {(a, b): len(held[a] & held[b]) / min(len(held[a]), len(held[b])) for a in held for b in held if a < b}
     want = {p: pytest.approx(v) for p, v in share.items() if v >= 0.5}
-    got = A.sketch_pairs(df, 9, 5).select("a", "b", F.col("sim")).collect()
-    assert len(got) == len(want) and {(x.a, x.b): x.sim for x in got} == want
+    classes = {x.ctg: (x.cls, x.n_links) for x in A.sketch_classes(df, 9, 5).collect()}
+    assert set(classes) == {k for k, _ in seqs}
+    pairs = A.sketch_pairs(df, 9, 5).select("a", "b", F.col("sim")).collect()
+    like = {(x.a, x.b): x.sim for x in pairs}
+    assert len(like) == len(pairs) and all(classes[c][0] == c for p in like for c in p)
+    found = {}
+    for a in held:
+        for b in held:
+            x, y = sorted((classes[a][0], classes[b][0]))
+            if a < b and (x == y or (x, y) in like):
+                found[a, b] = 1.0 if x == y else like[x, y]
+    assert found == want
+    near = {c: sum(c in p for p in want) for c in classes}
+    assert {c: n for c, (_, n) in classes.items()} == near
     assert sum(b < 80 for _, b in want) == 80 * 79 // 2
