@@ -211,15 +211,10 @@ def _(s, d):
 
 @query("neighbour_votes")
 def _(s, d):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, w in _triples(g):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        got = K.neighbour_votes([x for x in near if x % 3 == 0], near, 1)
-        return pd.DataFrame([(g.grp.iloc[0], x, y, n) for (x, y), n in sorted(got.items())], columns=["grp", "x", "y", "votes"])
-
-    return K.grouped(_inner(s, d), "grp", "grp long, x long, y long, votes long", run)
+    from linkloom.operators.communities import neighbour_votes
+
+    x = stored(links(s, d), few=True)
+    return neighbour_votes(x, x.select(F.col("a").alias("ctg")).union(x.select("b")).where("ctg % 3 = 0"), 1)
 
 
 @query("long_read_paths")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from linkloom.operators import kernels as K
 from linkloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -200,7 +201,11 @@ def test_members_keep_their_laws(run, links):
     copies = run("collapsed_reassignment")
     assert set(copies.ctg) <= {x for x in nodes if x % 5 == 0} and not copies.duplicated(["ctg", "hap"]).any() and (copies.groupby("ctg").size() <= copies.groupby("ctg").ctg.first() % 3 + 1).all()
     votes = run("neighbour_votes")
-    assert (votes.votes > 0).all() and set(votes.x) | set(votes.y) <= nodes
+    near = defaultdict(dict)
+    for (a, b), n in links.items():
+        near[a][b] = near[b][a] = float(n)
+    want = K.neighbour_votes([x for x in near if x % 3 == 0], near, 1)
+    assert len(votes) == len(want) and {(x, y): n for x, y, n in votes[["x", "y", "votes"]].itertuples(index=False)} == want
 
 
 def test_clusters_cover_all_members_and_beat_chance(run, links):
