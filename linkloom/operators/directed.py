@@ -1,4 +1,4 @@
-"""Strong components of a directed edge table by trimming, contraction of chains and colours, each step a join or an aggregation."""
+"""Directed edge tables: strong components by trimming, contraction of chains and colours, and linearisation; each step is a join or an aggregation."""
 
 from __future__ import annotations
 
@@ -128,3 +128,30 @@ def strong_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataF
     named = stored(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("of")), few=True)
     least = stored(named.groupBy("of").agg(F.min("node").alias("component")), few=True)
     return named.join(least, "of").select("node", "component")
+
+
+def _longest(edges: DataFrame, at: str, other: str) -> DataFrame:
+    """The edge of each node `at` to the longest, then least, node `other`; a maximum, aggregated before the shuffle."""
+    best = edges.groupBy(at).agg(F.max(F.struct(F.col(f"{other}_len").alias("len"), (-F.col(other)).alias("minus"), F.col(f"{at}_len").alias("own"))).alias("best"))
+    return best.select(at, (-F.col("best.minus")).alias(other), F.col("best.own").alias(f"{at}_len"), F.col("best.len").alias(f"{other}_len"))
+
+
+def linearised(edges: DataFrame, short: int) -> DataFrame:
+    """(src, dst): edges (src, dst, src_len, dst_len), with the lengths of both nodes, after dead ends at branches are cut off.
+
+    A dead end is a node shorter than `short` with a single edge, from a node with others out, or to a node with others in. All dead
+    ends go at once, until there are none; then each node keeps its edge to the longest node (ties: the least), and of those each
+    node its edge from the longest one. Degrees are counts joined to stored edges, so a hub gathers no list and may be split.
+    Rows with a null end are ignored, equal ones count once, a null length counts as 0; an empty table gives no rows.
+    """
+    length = lambda k: F.coalesce(F.max(f"{k}_len"), F.lit(0)).alias(f"{k}_len")
+    left, n = kept(edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(length("src"), length("dst")))
+    while n:
+        ends = left.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(left.select("dst", F.lit(0), F.lit(1)))
+        degree = stored(ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")), few=True)
+        of = lambda k: degree.select(F.col("node").alias(k), F.col("out").alias(f"{k}_out"), F.col("into").alias(f"{k}_into"))
+        tip = "(src_out > 1 and dst_out = 0 and dst_into = 1 and dst_len < {0}) or (dst_into > 1 and src_into = 0 and src_out = 1 and src_len < {0})".format(short)
+        marked = left.join(of("src"), "src").join(of("dst"), "dst").withColumn("tip", F.expr(tip))
+        table, n = kept(marked.select("src", "dst", "src_len", "dst_len", "tip"), F.col("tip"))
+        left = table.where("not tip").drop("tip") if n else left
+    return _longest(_longest(left, "src", "dst"), "dst", "src").select("src", "dst")

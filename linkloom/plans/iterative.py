@@ -122,12 +122,29 @@ def _(s, d):
     return K.grouped(_parted(s, d), "component", "component long, run long, ord long, node long", run)
 
 
-@query("linearised_edges")
+#: Rounds that drop all short dead ends at branches, until there are none; then the longest way on, and the longest way in, of each node.
+_LINEAR = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey),
+r AS (
+  SELECT 0 AS k, src, dst FROM e
+  UNION ALL
+  SELECT k + 1, src, dst FROM (
+    SELECT *, bool_or(tip) OVER () AS more FROM (
+      SELECT r.k, r.src, r.dst, (so.n > 1 AND do_.n IS NULL AND di.n = 1 AND r.dst % 100 < 50) OR (di.n > 1 AND si.n IS NULL AND so.n = 1 AND r.src % 100 < 50) AS tip
+      FROM r JOIN (SELECT src AS v, count(*) AS n FROM r GROUP BY src) so ON so.v = r.src JOIN (SELECT dst AS v, count(*) AS n FROM r GROUP BY dst) di ON di.v = r.dst
+      LEFT JOIN (SELECT src AS v, count(*) AS n FROM r GROUP BY src) do_ ON do_.v = r.dst LEFT JOIN (SELECT dst AS v, count(*) AS n FROM r GROUP BY dst) si ON si.v = r.src))
+  WHERE more AND NOT tip
+), f AS (SELECT src, dst FROM r WHERE k = (SELECT max(k) FROM r)),
+o AS (SELECT src, dst FROM f QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst % 100 DESC, dst) = 1)
+SELECT src, dst FROM o QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src % 100 DESC, src) = 1"""
+
+
+@query("linearised_edges", _LINEAR)
 def _(s, d):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(K.linearise(list(zip(g.src, g.dst)), {x: x % 100 for x in [*g.src, *g.dst]}, 50), columns=["src", "dst"])
+    """A node's name modulo 100 stands for its length."""
+    from linkloom.operators.directed import linearised
 
-    return K.grouped(_parted(s, d), "component", "src long, dst long", run)
+    lengths = [(F.col(k) % 100).alias(f"{k}_len") for k in ("src", "dst")]
+    return linearised(whole_graph(s, d).select("src", "dst", *lengths), 50)
 
 
 @query("fast_order")
@@ -156,12 +173,31 @@ def _(s, d):
     return inflation_search(stored(links(s, d).where("links >= 3"), few=True), contigs(s, d), [1.5, 2.0, 3.0], 4, prune=0.01)
 
 
-@query("allele_cliques")
+#: Cliques are grown by members of smaller name; those no other node can join are maximal. Larger ones than four lose an end
+#: of their weakest edge at a time.
+_CLIQUES = """WITH RECURSIVE {links}, near AS (SELECT a AS v, list(b) AS nb, list(b) FILTER (b < a) AS low FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) GROUP BY a),
+c AS (
+  SELECT [v] AS members, coalesce(low, []) AS able, nb AS common FROM near
+  UNION ALL
+  SELECT list_append(members, u), list_intersect(able, coalesce(low, [])), list_intersect(common, nb)
+  FROM (SELECT members, able, common, unnest(able) AS u FROM c) JOIN near ON u = v
+),
+s AS (
+  SELECT list_sort(members) AS m FROM c WHERE len(common) = 0
+  UNION
+  SELECT list_filter(m, lambda z: z <> gone) FROM (
+    SELECT m, unnest([weakest.a, weakest.b]) AS gone FROM (
+      SELECT m, min({'links': links, 'a': l.a, 'b': l.b}) AS weakest
+      FROM (SELECT m, x, unnest(m) AS y FROM (SELECT m, unnest(m) AS x FROM s WHERE len(m) > 4)) JOIN links l ON x = l.a AND y = l.b GROUP BY m))
+)
+SELECT array_to_string(m, ' ') AS members FROM s WHERE len(m) <= 4"""
+
+
+@query("allele_cliques", _CLIQUES)
 def _(s, d):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(g.grp.iloc[0], " ".join(map(str, c))) for c in K.cliques_of_ploidy(_weights(g), 4)], columns=["grp", "members"])
+    from linkloom.operators.cliques import allele_groups
 
-    return K.grouped(_inner(s, d), "grp", "grp long, members string", run)
+    return allele_groups(links(s, d), 4).select(F.concat_ws(" ", F.array_sort("members").cast("array<string>")).alias("members"))
 
 
 @query("allele_matching")
