@@ -48,8 +48,8 @@ def gc_percent(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of all k-mers of a sequence, by a look-ahead that goes over it once."""
-    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    """Array of all k-mers of a sequence, by a look-ahead that goes over it once, one whole character a step."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def canonical(kmer: Column) -> Column:

@@ -59,7 +59,7 @@ def _(s, d):
 
 @query("kmer_canon", "WITH k AS (SELECT unnest(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))) AS k FROM documents), a AS (SELECT k FROM k WHERE regexp_full_match(k, '[acgt]+')) SELECT least(k, reverse(translate(k, 'ATCGNatcgn', 'TAGCNtagcn'))) AS kmer, count(*) AS n FROM a GROUP BY ALL")
 def _(s, d):
-    k = table(s, d, "documents").select(F.explode(S.kmers(F.col("text"), 4)).alias("k")).where(F.col("k").rlike("^[acgt]+$"))
+    k = table(s, d, "documents").select(F.explode(S.kmers(F.col("text"), 4)).alias("k")).where(F.col("k").rlike(r"^[acgt]+\z"))  # a $ would let a line break stand last
     return k.groupBy(S.canonical(F.col("k")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
