@@ -35,6 +35,19 @@ def _splits(df: DataFrame) -> int:
     return 0 if "Exchange" in plan.executedPlan().toString() else plan.toRdd().getNumPartitions()
 
 
+#: Tasks that `spread` makes of each input split, which is 128 MB of files at most by Spark's setting.
+TASKS_A_SPLIT = 8
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of large files dealt by these keys to as many tasks as the files ask for, so that what a task groups stays as small as it was.
+
+    Tables whose splits are few next to spark.sql.shuffle.partitions, and frames that were shuffled already, stay as they are.
+    """
+    n = TASKS_A_SPLIT * _splits(df)
+    return df.repartition(n, *keys) if n > 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def stored(df: DataFrame, few: bool = False, narrow: bool = False) -> DataFrame:
     """df, computed once into a Parquet table in shared storage and read back: lineage is cut and lost executors do no harm.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions.storage import spread
+
 
 def passes_mapq(column: str, least: int) -> Column:
     """Mapping quality of at least this; a missing or non-numeric one passes."""
@@ -20,7 +22,7 @@ def count_ordered(pairs: DataFrame, min_mapq: int = 1) -> DataFrame:
 def count_links(pairs: DataFrame, min_mapq: int = 1) -> DataFrame:
     """(a, b, links) under the unordered key a < b."""
     kept = pairs.where((F.col("c1") != F.col("c2")) & passes_mapq("mapq", min_mapq))
-    return kept.groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.count("*").alias("links"))
+    return spread(kept.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")), "a", "b").groupBy("a", "b").agg(F.count("*").alias("links"))
 
 
 def with_ends(links: DataFrame, contigs: DataFrame, *columns: str) -> DataFrame:
@@ -44,7 +46,7 @@ def normalise(links: DataFrame, contigs: DataFrame, mode: str = "ratio", flank:
 
 def degrees(links: DataFrame, weight: str = "links") -> DataFrame:
     """(ctg, degree): summed weight at each end."""
-    ends = links.select(F.col("a").alias("ctg"), weight).union(links.select(F.col("b").alias("ctg"), weight))
+    ends = both_directions(links, weight)
     return ends.groupBy("ctg").agg(F.sum(weight).alias("degree"))
 
 
@@ -60,8 +62,9 @@ def normalise_by_degree(links: DataFrame, rescale: bool = False) -> DataFrame:
 
 
 def both_directions(links: DataFrame, weight: str = "links") -> DataFrame:
-    """(ctg, partner, weight): every link seen from both ends."""
-    return links.select(F.col("a").alias("ctg"), F.col("b").alias("partner"), weight).union(links.select(F.col("b").alias("ctg"), F.col("a").alias("partner"), weight))
+    """(ctg, partner, weight): every link seen from both ends, in one pass over the links."""
+    end = lambda x, y: F.struct(F.col(x).alias("ctg"), F.col(y).alias("partner"), F.col(weight).alias(weight))
+    return links.select(F.inline(F.array(end("a", "b"), end("b", "a"))))
 
 
 def best_partners(links: DataFrame, weight: str = "value", most: int = 2) -> DataFrame:
