@@ -109,7 +109,9 @@ def copies(spark: SparkSession, path: str) -> DataFrame:
 def members(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
     """(grp, ctg) of lines `grp<tab>n<tab>members`."""
     p = F.split("value", "\t")
-    return spark.read.text(path).where(~F.col("value").startswith("#")).select(p[0].alias("grp"), F.explode(F.split(F.trim(p[2]), sep)).alias("ctg")).where("ctg <> ''")
+    # Parted before the list is laid out: else each member would carry its whole line.
+    parts = spark.read.text(path).where(~F.col("value").startswith("#")).select(p[0].alias("grp"), F.split(F.trim(p[2]), sep).alias("members"))
+    return parts.select("grp", F.explode("members").alias("ctg")).where("ctg <> ''")
 
 
 def agp(spark: SparkSession, path: str) -> DataFrame:

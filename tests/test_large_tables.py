@@ -43,3 +43,14 @@ def test_small_groups_go_in_batches(spark):
 @pytest.mark.parametrize("name", ["increasing_runs", "circular_rotation", "scaffold_errors", "reference_order", "long_read_paths"])
 def test_queries_of_small_groups_go_in_batches(spark, name):
     assert "InPandas" not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_do_not_carry_their_line(spark, tmp_path):
+    from linkloom.sources import formats
+
+    spark.createDataFrame([("g1\t3\ta b c",), ("#x\t1\td",), ("g2\t1\te",), ("g3\t0\t",)], "value string").write.text(f"{tmp_path}/m")
+    x = formats.members(spark, f"{tmp_path}/m")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    carried = next(r for r in plan.splitlines() if "Generate explode" in r).split("), [", 1)[1].split("]")[0]
+    assert carried.startswith("grp") and "value" not in carried
+    assert {tuple(r) for r in x.collect()} == {("g1", "a"), ("g1", "b"), ("g1", "c"), ("g2", "e")}
