@@ -67,3 +67,30 @@ def test_many_ready_nodes_do_not_slow_the_order():
     order = [x for r in runs for x in r]
     place = {x: k for k, x in enumerate(order)}
     assert len(place) == len(order) == 63_000 and all(place[a] < place[b] for a, b in edges)
+
+
+def test_shortest_ways_move_lists(spark):
+    """A way goes to the task of its start once, with lists of what may follow; hubs have several lists. `gap_filling` makes its rows of that alone."""
+    import random
+    from collections import defaultdict
+
+    from linkloom.operators import graph as G
+
+    r = random.Random(3)
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range(90)} | {(100, k) for k in range(200, 350)} | {(0, 100)} | {(k, 999) for k in range(200, 203)}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+    want = {}
+    for a in list(near):
+        seen, ways = {a} | near[a], [(a, b) for b in near[a] if b != a]
+        for level in (2, 3):
+            ways = [(*p, b) for p in ways for b in near.get(p[-1], ()) if b not in seen]
+            for b in {p[-1] for p in ways}:
+                want[a, b] = level, {p[1:-1] for p in ways if p[-1] == b}
+            seen |= {p[-1] for p in ways}
+    got = G.shortest_ways(spark.createDataFrame(sorted(edges), "src long, dst long"), 3).collect()
+    assert {(x.src, x.dst): (x.level, x.paths) for x in got} == {k: (level, len(ways)) for k, (level, ways) in want.items()}
+    assert len(got) == len(want) and all(tuple(x.way) in want[x.src, x.dst][1] for x in got)
+    assert G.shortest_ways(spark.createDataFrame([], "src long, dst long"), 2).collect() == []
+    assert "Window" not in catalog.queries()["gap_filling"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
