@@ -6,11 +6,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.storage import stored
+from linkloom.operators.kernels import listed
 
 
 def _maximal(inside: dict, outside: dict) -> Iterator[frozenset]:
@@ -69,29 +69,30 @@ def allele_groups(edges: DataFrame, ploidy: int, a: str = "a", b: str = "b", wei
     far = on.select("v", F.col("p").alias("q"), F.col("n").alias("m"))
     wedges = on.drop("w").join(far, "v").where("n < m or (n = m and p < q)").select("v", "p", "q")
     triangles = stored(wedges.join(on.select(F.col("v").alias("p"), F.col("p").alias("q"), "w"), ["p", "q"]).select("v", "p", "q", "w"))
+    later, among, earlier = 0, 1, 2
     kind = lambda k: F.lit(k).alias("kind")
     around = (
-        on.select("v", "p", F.col("p").alias("q"), "w", kind("later"))
-        .union(triangles.select("v", "p", "q", "w", kind("among")))
-        .union(triangles.select(F.col("p").alias("v"), F.col("q").alias("p"), F.col("v").alias("q"), "w", kind("earlier")))
+        on.select("v", "p", F.col("p").alias("q"), "w", kind(later))
+        .union(triangles.select("v", "p", "q", "w", kind(among)))
+        .union(triangles.select(F.col("p").alias("v"), F.col("q").alias("p"), F.col("v").alias("q"), "w", kind(earlier)))
     )
 
-    def found(g: pd.DataFrame) -> pd.DataFrame:
-        v = int(g.v.iloc[0])
-        by = {k: list(zip(t.p.tolist(), t.q.tolist(), t.w.tolist())) for k, t in g.groupby("kind")}
-        later, among = by.get("later", []), by.get("among", [])
-        inside: dict = {p: set() for p, _, _ in later}
-        weights = {(min(v, p), max(v, p)): w for p, _, w in later}
-        for p, q, w in among:
-            inside[p].add(q)
-            inside[q].add(p)
-            weights[min(p, q), max(p, q)] = w
+    def found(v: int, kinds: list, ps: list, qs: list, ws: list) -> list[tuple]:
+        inside: dict = {}
         outside: dict = defaultdict(set)
-        for p, q, _ in by.get("earlier", []):
-            outside[q].add(p)
+        weights = {}
+        for k, p, q, w in zip(kinds, ps, qs, ws):  # by kind, so that all later nodes are known first
+            if k == later:
+                inside[p] = set()
+                weights[min(v, p), max(v, p)] = w
+            elif k == among:
+                inside[p].add(q)
+                inside[q].add(p)
+                weights[min(p, q), max(p, q)] = w
+            else:
+                outside[q].add(p)
         done: set = set()
         cliques = _maximal(inside, dict(outside)) if inside else ()
-        groups = [list(s) for c in cliques for s in _split(tuple(sorted(c | {v})), weights, ploidy, done)]
-        return pd.DataFrame({"members": pd.Series(groups, dtype=object)})
+        return [(list(s),) for c in cliques for s in _split(tuple(sorted(c | {v})), weights, ploidy, done)]
 
-    return around.groupBy("v").applyInPandas(found, "members array<long>").distinct()
+    return listed(around, "v", ["kind"], ["kind", "p", "q", "w"], "members array<long>", found).distinct()
