@@ -94,3 +94,14 @@ def test_shortest_ways_move_lists(spark):
     assert len(got) == len(want) and all(tuple(x.way) in want[x.src, x.dst][1] for x in got)
     assert G.shortest_ways(spark.createDataFrame([], "src long, dst long"), 2).collect() == []
     assert "Window" not in catalog.queries()["gap_filling"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cliques_and_votes_go_in_batches(spark, monkeypatch):
+    """Each node and each centre was a call of pandas of its own."""
+    from linkloom.operators import communities
+
+    plans, stored = [], communities.stored
+    monkeypatch.setattr(communities, "stored", lambda df, **more: plans.append(df) or stored(df, **more))
+    plans += [catalog.queries()[name](spark, "/root/testdata/sf0.001") for name in ("allele_cliques", "neighbour_votes")]
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum("MapInArrow" in t for t in texts) == 2 and not any("InPandas" in t for t in texts)
