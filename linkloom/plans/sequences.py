@@ -72,10 +72,9 @@ def _(s, d):
 
 @query("kmer_classes", "WITH k AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS k FROM documents), own AS (SELECT k, min(lang) AS lo, max(lang) AS hi FROM k GROUP BY k) SELECT doc_id, count(*) FILTER (WHERE lo = hi) AS only_here, count(*) FILTER (WHERE lo <> hi) AS shared FROM k JOIN own USING (k) GROUP BY doc_id")
 def _(s, d):
-    k = table(s, d, "documents").select("doc_id", "lang", F.explode(S.kmers(F.col("text"), 5)).alias("k"))
-    per_doc = k.groupBy("doc_id", "k").agg(F.count("*").alias("n"))
-    own = k.groupBy("k").agg((F.min("lang") == F.max("lang")).alias("one"))
-    return per_doc.join(own, "k").groupBy("doc_id").agg(F.sum(F.when(F.col("one"), F.col("n")).otherwise(0)).alias("only_here"), F.sum(F.when(F.col("one"), 0).otherwise(F.col("n"))).alias("shared"))
+    from linkloom.operators.kmers import kmer_shares
+
+    return kmer_shares(table(s, d, "documents"), "doc_id", "lang", "text", 5)
 
 
 @query("name_parts", "SELECT c_custkey, split_part(c_name, '#', 1) AS stem, CAST(split_part(c_name, '#', 2) AS BIGINT) AS number FROM customer")
