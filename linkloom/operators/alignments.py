@@ -64,17 +64,9 @@ def secondary_tags(alignments: DataFrame) -> DataFrame:
 
 def sketches(seqs: DataFrame, k: int, w: int) -> DataFrame:
     """(ctg, sketch): sorted distinct least k-mer hashes of all windows of w k-mers, both strands alike; only where there are any."""
-    from linkloom.functions.sequence import canonical, kmers
+    from linkloom.operators.kmers import sketches as sketched
 
-    hashes = F.transform(kmers(F.col("seq"), k), lambda x: F.xxhash64(canonical(x)))
-
-    def sketch(h: Column) -> Column:
-        n = F.size(h) - w + 1
-        least = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_min(F.slice(h, i, F.lit(w))))).otherwise(F.array(F.array_min(h)))
-        return F.array_sort(F.array_compact(F.array_distinct(least)))
-
-    # Bound by a lambda: as a column of its own the hashes could be computed anew for each window.
-    return seqs.select("ctg", F.get(F.transform(F.array(hashes), sketch), F.lit(0)).alias("sketch")).where(F.size("sketch") > 0)
+    return sketched(seqs, k, w)
 
 
 def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
