@@ -139,7 +139,8 @@ def _(s, d):
     ordn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     x = table(s, d, "orders").where("o_totalprice > 490000").select(F.col("o_custkey").alias("grp"), ordn.alias("ord"), F.col("o_orderkey").alias("ctg"), F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise("+").alias("orient"))
     W.tours(x, path)
-    t = s.read.text(path).select(F.col("grp").cast("string").alias("grp"), F.posexplode(F.split("value", " ")).alias("k", "t"))
+    part = lambda k: F.split_part("value", F.lit("\t"), F.lit(k))
+    t = s.read.text(path).select(F.nullif(part(1), F.lit("")).alias("grp"), F.posexplode(F.split(part(2), " ")).alias("k", "t"))
     return t.select("grp", (F.col("k") + 1).alias("ord"), F.expr("left(t, length(t) - 1)").alias("ctg"), F.right("t", F.lit(1)).alias("orient"))
 
 
