@@ -131,13 +131,13 @@ def _(s, d):
     return R.similarity(s, path, prefix="u")
 
 
-@query("io_tours", "SELECT CAST(o_custkey AS VARCHAR) AS grp, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS ord, CAST(o_orderkey AS VARCHAR) AS ctg, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '+' END AS orient FROM orders WHERE o_totalprice > 490000")
+@query("io_tours", "SELECT CAST(o_custkey AS VARCHAR) AS grp, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS ord, CAST(o_orderkey AS VARCHAR) AS ctg, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '+' END AS orient FROM orders")
 def _(s, d):
     from pyspark.sql import Window
 
     path = shared_dir(s)
     ordn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    x = table(s, d, "orders").where("o_totalprice > 490000").select(F.col("o_custkey").alias("grp"), ordn.alias("ord"), F.col("o_orderkey").alias("ctg"), F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise("+").alias("orient"))
+    x = table(s, d, "orders").select(F.col("o_custkey").alias("grp"), ordn.alias("ord"), F.col("o_orderkey").alias("ctg"), F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise("+").alias("orient"))
     W.tours(x, path)
     part = lambda k: F.split_part("value", F.lit("\t"), F.lit(k))
     t = s.read.text(path).select(F.nullif(part(1), F.lit("")).alias("grp"), F.posexplode(F.split(part(2), " ")).alias("k", "t"))
