@@ -75,29 +75,30 @@ def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
 
 
 def _classes(seqs: DataFrame, k: int, w: int) -> tuple[DataFrame, DataFrame]:
-    """(ctg, key) of every sequence with a sketch, and one row (key, sketch, size, cls, n) for each distinct sketch; cls is its smallest ctg."""
+    """(ctg, key) of every sequence with a sketch, and one row (key, id, sketch, size, cls, n) for each distinct sketch; cls is its smallest ctg, id a number of eight bytes."""
     own = stored(sketches(seqs, k, w).withColumn("key", F.sha2(F.array_join(F.transform("sketch", lambda x: x.cast("string")), ","), 256)))
     one = own.groupBy("key").agg(F.first("sketch").alias("sketch"), F.min("ctg").alias("cls"), F.count("*").alias("n"))
-    return own.select("ctg", "key"), stored(one.withColumn("size", F.size("sketch")))
+    return own.select("ctg", "key"), stored(one.withColumns({"size": F.size("sketch"), "id": F.monotonically_increasing_id()}))
 
 
 def _alike(one: DataFrame, max_holders: int, least: float) -> DataFrame:
-    """(x, y, sim): keys of distinct sketches of which the smaller shares at least `least` with the other.
+    """(x, y, sim): ids of distinct sketches of which the smaller shares at least `least` with the other.
 
     Such a pair shares one of the rarest minimizers of its smaller sketch, so many that the others alone would fall short of
     `least`; only those are joined, then sketches are compared whole. Minimizers that more than max_holders sketches have are
-    dealt over several tasks.
+    dealt over several tasks. Those of one sketch only are the rarest of it and go as soon as they are counted.
     """
-    m = one.select("key", "size", F.explode("sketch").alias("h"))
-    held = m.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    tasks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(max_holders)).cast("int")
-    ranked = m.join(held, "h", "left").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(1)), "h")))
-    ranked = stored(ranked.where("n > 1").select("key", "size", "h", "rank", tasks.alias("tasks")))
+    m = one.select("id", "size", F.explode("sketch").alias("h"))
+    held = m.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    tasks = F.ceil(F.col("n") / F.lit(max_holders)).cast("int")
+    mine = Window.partitionBy("id")
+    rank = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "h"))
+    ranked = stored(held.withColumn("rank", rank).select("id", "size", "h", "rank", tasks.alias("tasks")))
     rarest = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1)
-    x = rarest.select(F.col("key").alias("x"), F.col("size").alias("size_x"), "h", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    y = ranked.select(F.col("key").alias("y"), F.col("size").alias("size_y"), "h", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int").alias("task"))
+    x = rarest.select(F.col("id").alias("x"), F.col("size").alias("size_x"), "h", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    y = ranked.select(F.col("id").alias("y"), F.col("size").alias("size_y"), "h", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"))
     near = stored(x.join(y, ["h", "task"]).where("size_x < size_y or (size_x = size_y and x < y)").select("x", "y").distinct())
-    side = lambda c: one.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    side = lambda c: one.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     both = near.join(side("x"), "x").join(side("y"), "y")
     sim = F.size(F.array_intersect("sketch_x", "sketch_y")) / F.least(F.size("sketch_x"), F.size("sketch_y"))
     return both.select("x", "y", sim.alias("sim")).where(F.col("sim") >= least)
@@ -109,7 +110,7 @@ def sketch_pairs(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int = 6
     A class is named by its smallest ctg; `sketch_classes` tells the class of each sequence, so that copies aren't paired with one another.
     """
     _, one = _classes(seqs, k, w)
-    name = lambda key, c: one.select(F.col("key").alias(key), F.col("cls").alias(c))
+    name = lambda k, c: one.select(F.col("id").alias(k), F.col("cls").alias(c))
     apart = _alike(one, max_holders, least).join(name("x", "l"), "x").join(name("y", "r"), "y")
     return apart.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "sim")
 
@@ -121,9 +122,9 @@ def sketch_classes(seqs: DataFrame, k: int = 17, w: int = 17, max_holders: int =
     """
     own, one = _classes(seqs, k, w)
     alike = stored(_alike(one, max_holders, least).select("x", "y"), few=True)
-    sized = one.select(F.col("key").alias("y"), "n")
-    beside = alike.union(alike.select("y", "x")).join(sized, "y").groupBy(F.col("x").alias("key")).agg(F.sum("n").alias("beside"))
-    each = one.select("key", "cls", "n").join(beside, "key", "left").select("key", "cls", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    sized = one.select(F.col("id").alias("y"), "n")
+    beside = alike.union(alike.select("y", "x")).join(sized, "y").groupBy(F.col("x").alias("id")).agg(F.sum("n").alias("beside"))
+    each = one.select("key", "id", "cls", "n").join(beside, "id", "left").select("key", "cls", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
     placed = own.join(each, "key").select("ctg", "cls", "n_links")
     bare = seqs.select("ctg").join(own.select(F.col("ctg").alias("held")), F.col("ctg").eqNullSafe(F.col("held")), "left_anti")
     return placed.union(bare.select("ctg", F.col("ctg").alias("cls"), F.lit(0).cast("long").alias("n_links")))
